@@ -137,8 +137,8 @@ FROM (SELECT *, {", ".join(raw_cols)}, {prior("count(n)", None)} AS pc, {prior("
   {prior("avg(n)", None)} AS pm FROM panel{suffix}), dates{suffix} d"""
     CTES[f"grid{suffix}"] = f"""
 SELECT alpha::DOUBLE AS alpha, beta::DOUBLE AS beta, gamma::DOUBLE AS gamma, shrink::DOUBLE AS shrink, count(*) AS rows,
-  CAST(sum(actual) AS BIGINT) AS events, round(avg(abs(p - actual)), 5) AS mae, round(sqrt(avg((p - actual) * (p - actual))), 5) AS rmse,
-  round(sum(abs(p - actual) * actual) / nullif(sum(actual), 0), 5) AS wmae
+  CAST(sum(actual) AS BIGINT) AS events, round(round(avg(abs(p - actual)), 10), 5) AS mae, round(round(sqrt(avg((p - actual) * (p - actual))), 10), 5) AS rmse,
+  round(round(sum(abs(p - actual) * actual) / nullif(sum(actual), 0), 10), 5) AS wmae
 FROM (SELECT f.actual, g.*, greatest(0.0::DOUBLE, g.shrink::DOUBLE * (trailing_mean_8
     + g.alpha::DOUBLE * (trailing_mean_4 - trailing_mean_8) + g.beta::DOUBLE * (lag_1 - trailing_mean_4)
     + g.gamma::DOUBLE * (lag_52 - trailing_mean_8))) AS p

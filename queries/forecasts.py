@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from queries import tables as t
 from queries.registry import query
-from segpanel.functions.expr import dround
+from segpanel.functions.expr import dround, sround
 from segpanel.functions.windows import PriorRows, array_mad, array_median
 from segpanel.operators import evaluate as ev
 from segpanel.operators import forecast as fc
@@ -122,8 +122,8 @@ def _metrics(source: str, by: str = "", filt: str = "true") -> str:
     return f"""SELECT method, {cols}count(predicted) FILTER (WHERE actual IS NOT NULL) AS predictions, count(*) AS backtest_rows,
   round(count(predicted) FILTER (WHERE actual IS NOT NULL) * 100.0 / count(*), 2) AS coverage_pct,
   CAST(coalesce(sum(actual) FILTER (WHERE predicted IS NOT NULL), 0) AS BIGINT) AS events, CAST(sum(actual) AS BIGINT) AS all_events,
-  round(avg(abs(predicted - actual)), 4) AS mae, round(sqrt(avg((predicted - actual) ** 2)), 4) AS rmse,
-  round(sum(abs(predicted - actual) * actual) / nullif(sum(actual) FILTER (WHERE predicted IS NOT NULL), 0), 4) AS wmae
+  round(round(avg(abs(predicted - actual)), 10), 4) AS mae, round(round(sqrt(avg((predicted - actual) ** 2)), 10), 4) AS rmse,
+  round(round(sum(abs(predicted - actual) * actual) / nullif(sum(actual) FILTER (WHERE predicted IS NOT NULL), 0), 10), 4) AS wmae
   FROM {source} WHERE {filt} GROUP BY method{', ' + by if by else ''}"""
 
 
@@ -175,12 +175,12 @@ def metrics_grouping_sets(spark, sf):
 
 @query("join_methods_cross", """SELECT g.grp, m.method, s.predictions, s.mae FROM (SELECT DISTINCT grp FROM blong4) g
   JOIN (SELECT unnest(['previous_week', 'trailing_4_week_mean', 'no_such_method']) AS method) m ON true
-  LEFT JOIN (SELECT method, grp, count(*) AS predictions, round(avg(abs(predicted - actual)), 4) AS mae FROM blong4
+  LEFT JOIN (SELECT method, grp, count(*) AS predictions, round(round(avg(abs(predicted - actual)), 10), 4) AS mae FROM blong4
     WHERE predicted IS NOT NULL AND actual IS NOT NULL GROUP BY method, grp) s ON s.grp = g.grp AND s.method = m.method""")
 def join_methods_cross(spark, sf):
     long = materialize(fc.unpivot_methods(baselines(spark, sf), t.KEYS))
     stats = long.filter("predicted IS NOT NULL AND actual IS NOT NULL").groupBy("method", "grp").agg(
-        F.count(F.lit(1)).alias("predictions"), dround(F.avg(F.abs(F.col("predicted") - F.col("actual"))), 4).alias("mae"))
+        F.count(F.lit(1)).alias("predictions"), sround(F.avg(F.abs(F.col("predicted") - F.col("actual"))), 4).alias("mae"))
     return ev.methods_for_groups(long.select("grp").distinct(), stats, ["previous_week", "trailing_4_week_mean", "no_such_method"], ["grp"])
 
 
@@ -210,8 +210,8 @@ def best_baseline(spark, sf):
 
 
 def _hardest(by: str, low: int) -> str:
-    return f"""SELECT {by}, count(*) AS predictions, CAST(sum(actual) AS BIGINT) AS events, round(avg(abs(predicted - actual)), 4) AS mae,
-  round(sqrt(avg((predicted - actual) ** 2)), 4) AS rmse FROM blong4 WHERE method = 'trailing_8_week_mean' AND predicted IS NOT NULL AND actual IS NOT NULL
+    return f"""SELECT {by}, count(*) AS predictions, CAST(sum(actual) AS BIGINT) AS events, round(round(avg(abs(predicted - actual)), 10), 4) AS mae,
+  round(round(sqrt(avg((predicted - actual) ** 2)), 10), 4) AS rmse FROM blong4 WHERE method = 'trailing_8_week_mean' AND predicted IS NOT NULL AND actual IS NOT NULL
   GROUP BY {by} HAVING sum(actual) >= {low} ORDER BY mae DESC, rmse DESC, events DESC, {by} LIMIT 15"""
 
 

@@ -87,7 +87,7 @@ _SEV = "(SELECT unnest(['low', 'medium', 'high', 'critical']) AS severity)"
 
 
 @query("severity_counts", f"""SELECT s.severity, coalesce(rows, 0) AS rows, coalesce(events, 0) AS events, avg_score, max_score FROM {_SEV} s LEFT JOIN (
-  SELECT severity, count(*) AS rows, CAST(sum(actual) AS BIGINT) AS events, round(avg(score), 4) AS avg_score, max(score) AS max_score
+  SELECT severity, count(*) AS rows, CAST(sum(actual) AS BIGINT) AS events, round(round(avg(score), 10), 4) AS avg_score, max(score) AS max_score
   FROM ascore2 WHERE is_anomaly GROUP BY severity) c ON s.severity = c.severity""")
 def severity_counts(spark, sf):
     return an.severity_counts(scored(spark, sf).filter("is_anomaly"))
@@ -95,7 +95,7 @@ def severity_counts(spark, sf):
 
 @query("volatile_groups", """SELECT grp, cat, count(*) AS evaluated_weeks, CAST(sum(actual) AS BIGINT) AS events, count(*) FILTER (WHERE is_anomaly) AS anomalies,
   count(*) FILTER (WHERE severity IN ('high', 'critical')) AS severe_anomalies, round(count(*) FILTER (WHERE is_anomaly) * 100.0 / count(*), 4) AS anomaly_rate_pct,
-  round(avg(std_base), 4) AS avg_std, round(avg(abs(residual_history)), 4) AS avg_abs_residual, max(score) AS max_score
+  round(round(avg(std_base), 10), 4) AS avg_std, round(round(avg(abs(residual_history)), 10), 4) AS avg_abs_residual, max(score) AS max_score
   FROM ascore2 WHERE is_evaluable AND passes_volume GROUP BY grp, cat HAVING count(*) >= 10 AND sum(actual) >= 40
   ORDER BY avg_abs_residual DESC NULLS LAST, avg_std DESC NULLS LAST, anomalies DESC, events DESC, grp, cat LIMIT 20""")
 def volatile_groups(spark, sf):
@@ -193,7 +193,7 @@ def hotspot_scores(spark, sf):
 
 @query("hotspot_severity", """SELECT s.grain, s.severity, coalesce(rows, 0) AS rows, coalesce(events, 0) AS events, avg_score, max_score
   FROM (SELECT DISTINCT grain, severity FROM (SELECT grain FROM hscore WHERE is_hotspot), (SELECT unnest(['low', 'medium', 'high', 'critical']) AS severity)) s LEFT JOIN (
-  SELECT grain, severity, count(*) AS rows, CAST(sum(recent_30) AS BIGINT) AS events, round(avg(score), 4) AS avg_score, max(score) AS max_score
+  SELECT grain, severity, count(*) AS rows, CAST(sum(recent_30) AS BIGINT) AS events, round(round(avg(score), 10), 4) AS avg_score, max(score) AS max_score
   FROM hscore WHERE is_hotspot GROUP BY grain, severity) c ON s.grain = c.grain AND s.severity = c.severity""")
 def hotspot_severity(spark, sf):
     return hs.severity_counts(materialize(hotspot_rows(spark, sf)))

@@ -36,6 +36,15 @@ def dround(c: Column | str, digits: int = 0) -> Column:
     return F.round(col(c).cast("double") * F.lit(scale)) / F.lit(scale)
 
 
+def sround(c: Column | str, digits: int) -> Column:
+    """Round a quotient of double sums so that the order of summation cannot show.
+
+    The last bits of such sums depend on how rows were partitioned; a first rounding to ten
+    digits removes them, so values that lie exactly between two results always go one way.
+    """
+    return dround(dround(c, 10), digits)
+
+
 def pct(part: Column, whole: Column, digits: int | None = 2) -> Column:
     """100·part/whole, NULL when the whole is missing or not positive."""
     value = F.when(whole > 0, part.cast("double") * 100.0 / whole.cast("double"))

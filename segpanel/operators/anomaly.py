@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segpanel.functions.expr import dround
+from segpanel.functions.expr import dround, sround
 from segpanel.functions.windows import PriorRows, array_mad, array_median
 from segpanel.operators.aggregate import label_counts
 from segpanel.operators.panel import SEGMENT_COLUMNS
@@ -148,7 +148,7 @@ def severity_counts(scored: DataFrame, by: Sequence[str] = (), labels: Sequence[
     """Count, total, mean and highest score per severity; absent labels are listed with 0."""
     out = label_counts(scored, "severity", labels, [
         F.count(F.lit(1)).alias("rows"), F.sum("actual").alias("events"),
-        dround(F.avg(score), 4).alias("avg_score"), F.max(score).alias("max_score"),
+        sround(F.avg(score), 4).alias("avg_score"), F.max(score).alias("max_score"),
     ], by)
     return out.withColumns({"rows": F.coalesce("rows", F.lit(0)), "events": F.coalesce("events", F.lit(0))})
 
@@ -167,8 +167,8 @@ def volatile_groups(scored: DataFrame, by: Sequence[str], config: AnomalyConfig
         F.count_if("is_anomaly").alias("anomalies"),
         F.count_if(F.col("severity").isin("high", "critical")).alias("severe_anomalies"),
         dround(F.count_if("is_anomaly") * 100.0 / F.count(F.lit(1)), 4).alias("anomaly_rate_pct"),
-        dround(F.avg("std_base"), 4).alias("avg_std"),
-        dround(F.avg(F.abs("residual_history")), 4).alias("avg_abs_residual"),
+        sround(F.avg("std_base"), 4).alias("avg_std"),
+        sround(F.avg(F.abs("residual_history")), 4).alias("avg_abs_residual"),
         F.max("score").alias("max_score"),
     ).filter((F.col("evaluated_weeks") >= config.volatile_min_weeks) & (F.col("events") >= config.volatile_min_events))
     return out.orderBy(

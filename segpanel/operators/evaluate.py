@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segpanel.functions.expr import dround, pct
+from segpanel.functions.expr import dround, pct, sround
 from segpanel.operators.aggregate import grouping_levels
 from segpanel.operators.ranks import rank_within
 
@@ -32,9 +32,9 @@ def _metrics() -> list[Column]:
         F.col("k").alias("predictions"), F.col("rows_all").alias("backtest_rows"),
         pct(F.col("k"), F.col("rows_all")).alias("coverage_pct"),
         F.coalesce("events", F.lit(0)).alias("events"), F.col("events_all").alias("all_events"),
-        dround(F.col("abs_sum") / k, 4).alias("mae"),
-        dround(F.sqrt(F.col("sq_sum") / k), 4).alias("rmse"),
-        dround(F.when(F.col("events") > 0, F.col("wabs_sum") / F.col("events")), 4).alias("wmae"),
+        sround(F.col("abs_sum") / k, 4).alias("mae"),
+        sround(F.sqrt(F.col("sq_sum") / k), 4).alias("rmse"),
+        sround(F.when(F.col("events") > 0, F.col("wabs_sum") / F.col("events")), 4).alias("wmae"),
     ]
 
 
@@ -106,8 +106,8 @@ def hardest_segments(cells: DataFrame, by: Sequence[str], min_events: int = 50,
     ).filter(F.col("events") >= min_events)
     out = sums.select(
         *by, F.col("k").alias("predictions"), "events",
-        dround(F.col("abs_sum") / F.col("k"), 4).alias("mae"),
-        dround(F.sqrt(F.col("sq_sum") / F.col("k")), 4).alias("rmse"),
+        sround(F.col("abs_sum") / F.col("k"), 4).alias("mae"),
+        sround(F.sqrt(F.col("sq_sum") / F.col("k")), 4).alias("rmse"),
     )
     return out.orderBy(F.col("mae").desc(), F.col("rmse").desc(), F.col("events").desc(), *by).limit(limit)
 

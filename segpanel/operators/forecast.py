@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segpanel.functions.expr import dround, is_unknown, location_key, mappable_area
+from segpanel.functions.expr import dround, is_unknown, location_key, mappable_area, sround
 from segpanel.functions.windows import PriorRows
 from segpanel.operators.panel import SEGMENT_COLUMNS, PanelDates
 
@@ -146,9 +146,9 @@ def fit_grid(features: DataFrame, start: date, end: date, week: str = "week") ->
     ])))
     return long.select(
         "alpha", "beta", "gamma", "shrink", "rows", "events",
-        dround(F.col("a") / F.col("rows"), 5).alias("mae"),
-        dround(F.sqrt(F.col("q") / F.col("rows")), 5).alias("rmse"),
-        dround(F.when(F.col("events") > 0, F.col("w") / F.col("events")), 5).alias("wmae"),
+        sround(F.col("a") / F.col("rows"), 5).alias("mae"),
+        sround(F.sqrt(F.col("q") / F.col("rows")), 5).alias("rmse"),
+        sround(F.when(F.col("events") > 0, F.col("w") / F.col("events")), 5).alias("wmae"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segpanel.functions import expr as E
-from segpanel.functions.expr import UNKNOWN, dround
+from segpanel.functions.expr import UNKNOWN, dround, sround
 from segpanel.operators.aggregate import dominant_value, label_counts
 from segpanel.operators.ranks import rank_within, with_row_id
 from segpanel.roles import HotspotConfig
@@ -228,6 +228,6 @@ def ranked_hotspots(scored: DataFrame) -> DataFrame:
 def severity_counts(scored: DataFrame, by: Sequence[str] = ("grain",)) -> DataFrame:
     out = label_counts(scored.filter("is_hotspot"), "severity", ("low", "medium", "high", "critical"), [
         F.count(F.lit(1)).alias("rows"), F.sum("recent_30").alias("events"),
-        dround(F.avg("score"), 4).alias("avg_score"), F.max("score").alias("max_score"),
+        sround(F.avg("score"), 4).alias("avg_score"), F.max("score").alias("max_score"),
     ], by)
     return out.withColumns({"rows": F.coalesce("rows", F.lit(0)), "events": F.coalesce("events", F.lit(0))})

@@ -13,6 +13,7 @@ from segpanel.operators.aggregate import monthly_counts, weekly_counts, weighted
 from segpanel.operators.clean import RAW_COLUMNS, XY_FLAGS, clean_events
 from segpanel.roles import Box, GrainLimits, HotspotConfig, QualityConfig
 from segpanel.session import ensure_checkpoint_dir
+from segpanel.sources.readers import read_parquet
 from queries.shared import EVENT_EXPRS, RAW_EXPRS, spark_dialect
 
 KEYS = ["grp", "area", "cat", "cls"]
@@ -28,8 +29,13 @@ HOTSPOTS = HotspotConfig(
 FLAG_COLUMNS = list(XY_FLAGS)
 
 
+# Tables that grow with the data; either side of their joins may be the streamed one.
+GROWING = ("orders", "customer", "lineitem", "events", "documents", "labels")
+
+
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+    path = f"{sf}/{table}.parquet"
+    return read_parquet(spark, path) if table in GROWING else spark.read.parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -39,13 +45,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def base(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders with the region and nation of their customer. The nation tables have 25 and 5
-    rows; the customer join is left to Spark."""
+    """Orders with the region and nation of their customer. Nation and region have 25 and 5 rows
+    at every scale and are broadcast; the customer join is left to Spark's size estimates."""
     orders = read(spark, sf, "orders").selectExpr(
         "o_orderkey AS k", "o_custkey", "CAST(o_orderdate AS DATE) AS odate", "o_totalprice AS price",
         "o_orderpriority AS priority", "o_orderstatus AS status",
     )
-    places = read(spark, sf, "nation").join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    regions = F.broadcast(read(spark, sf, "region"))
+    places = F.broadcast(read(spark, sf, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey")))
     people = read(spark, sf, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").alias("acct")).join(
         places, F.col("c_nationkey") == F.col("n_nationkey")
     )

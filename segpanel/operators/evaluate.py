@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from segpanel.functions.expr import dround, pct, sround
 from segpanel.operators.aggregate import grouping_levels
 from segpanel.operators.ranks import rank_within
+from segpanel.session import materialize
 
 _SUMS = ("rows_all", "events_all", "k", "events", "abs_sum", "sq_sum", "wabs_sum")
 
@@ -70,9 +71,10 @@ def top_k_capture(long: DataFrame, keys: Sequence[str], fraction: str = "0.1", w
     k is the given decimal fraction of the week's cells, rounded up. Ranks come from a range
     partitioned numbering, so a week with very many segments is not one task.
     """
-    cells = long.filter(F.col("actual").isNotNull() & F.col("predicted").isNotNull()).select(
+    # The cells feed the sizes and both sorts, so they are computed once.
+    cells = materialize(long.filter(F.col("actual").isNotNull() & F.col("predicted").isNotNull()).select(
         method, week, *keys, "actual", "predicted"
-    )
+    ))
     group = [method, week]
     sizes = cells.groupBy(*group).agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).cast("decimal(18,0)") * F.lit(fraction).cast("decimal(6,4)")))

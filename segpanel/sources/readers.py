@@ -31,6 +31,18 @@ def read_raw_csv(spark: SparkSession, path: str, columns: Sequence[str],
     )
 
 
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet rows in at least as many partitions as there are cores.
+
+    A small file with one row group is one task for everything up to the first shuffle, so it is
+    spread out; filters and column pruning still reach the scan. A table with enough splits,
+    which is every large one, is left alone.
+    """
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def read_metrics(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 

@@ -97,6 +97,16 @@ def limit_rows(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
 
 
 def fixed_sample(df: DataFrame, n: int, seed: int, *identity: str) -> DataFrame:
-    """Exactly n rows, the same ones on every run: the n smallest seeded hashes of the identity."""
-    mark = F.xxhash64(F.lit(seed), *[F.col(c) for c in identity])
-    return df.orderBy(mark, *identity).limit(n)
+    """Exactly n rows, the same ones on every run: the n smallest seeded hashes of the identity.
+
+    A hash bound that leaves a little more than n rows is applied first, so only those few are
+    sorted and merged. If chance or repeated identities leave fewer, all rows are sorted instead.
+    """
+    mark = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(c) for c in identity]), 11)
+    total = df.count()
+    rows = df
+    if total > 2 * n:
+        bound = int((n + 8 * n**0.5 + 64) / total * 2**53)
+        near = df.filter(mark < bound)
+        rows = near if near.count() >= n else df
+    return rows.orderBy(mark, *identity).limit(n)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries import forecasts as fq
 from queries import tables as t
 from queries.registry import query
 from segpanel.functions.expr import dround
@@ -142,7 +141,7 @@ def hotspot_rows(spark, sf):
 
 
 def hotspots_table(spark, sf):
-    return hs.ranked_hotspots(materialize(hotspot_rows(spark, sf)))
+    return hs.ranked_hotspots(hotspot_rows(spark, sf))
 
 
 def _window_sql(name: str, cond: str) -> str:

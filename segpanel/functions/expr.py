@@ -97,9 +97,14 @@ def parse_date(c: Column | str) -> Column:
 
 
 def parse_datetime(day: Column | str, clock: Column | str) -> Column:
-    """Date text and time text to a timestamp; NULL if either is missing or wrong."""
-    text = F.concat(col(day), F.lit(" "), col(clock))
-    return F.try_to_timestamp(text, F.lit("M/d/yyyy H:m:s")).cast("timestamp_ntz")
+    """Date text and H:M:S text to a timestamp without zone; NULL if either is missing or wrong.
+
+    The clock is put together from its parts, so no session time zone can move it.
+    """
+    date, text = parse_date(day), col(clock)
+    hour, minute, second = (F.try_element_at(F.split(text, ":"), F.lit(i)).try_cast("int") for i in (1, 2, 3))
+    stamp = F.try_make_timestamp_ntz(F.year(date), F.month(date), F.dayofmonth(date), hour, minute, second)
+    return F.when(text.rlike("^[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$") & (second < 60), stamp)
 
 
 def try_double(c: Column | str) -> Column:

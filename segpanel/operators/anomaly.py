@@ -13,6 +13,7 @@ from segpanel.operators.aggregate import label_counts
 from segpanel.operators.panel import SEGMENT_COLUMNS
 from segpanel.operators.ranks import rank_within, with_row_id
 from segpanel.roles import AnomalyConfig
+from segpanel.session import materialize
 
 SEVERITIES = ("low", "medium", "high", "critical")
 _LOW = -1e9
@@ -136,9 +137,12 @@ def anomaly_scores(features: DataFrame, predictions: DataFrame | None, keys: Seq
 
 
 def ranked_anomalies(scored: DataFrame, keys: Sequence[str], week: str = "week") -> DataFrame:
-    """Flagged rows with their overall rank and their rank in the week."""
+    """Flagged rows with their overall rank and their rank in the week.
+
+    The few flagged rows are written first, so that sampling for the sort does not score twice.
+    """
     order = [F.col("score").desc(), F.col("actual").desc()]
-    flagged = scored.filter("is_anomaly")
+    flagged = materialize(scored.filter("is_anomaly"))
     in_week = rank_within(flagged, [week], [*order, *keys], "rank_in_week")
     return with_row_id(in_week, [*order, F.col(week).desc(), *keys], "rank_overall")
 

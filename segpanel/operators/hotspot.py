@@ -12,6 +12,7 @@ from segpanel.functions.expr import UNKNOWN, dround, sround
 from segpanel.operators.aggregate import dominant_value, label_counts
 from segpanel.operators.ranks import rank_within, with_row_id
 from segpanel.roles import HotspotConfig
+from segpanel.session import materialize
 
 KEYS = ("grp", "area", "cat", "cls")
 COUNTS = ("recent_7", "recent_30", "recent_90", "baseline")
@@ -82,12 +83,17 @@ def _has_cell() -> Column:
     return F.col("cell_x").isNotNull()
 
 
-def window_totals(cube: DataFrame) -> DataFrame:
-    """Recent and baseline totals per grain: all bins for areas, usable points for the grid."""
-    wide = cube.agg(*[
+def _totals_row(cube: DataFrame) -> DataFrame:
+    """All window totals as one row, from one pass over the cube."""
+    return cube.agg(*[
         F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("bigint").alias(f"{grain}_{c}")
         for grain, cond in (("area", F.lit(True)), ("grid", _has_cell())) for c in ("recent_30", "baseline")
     ])
+
+
+def window_totals(cube: DataFrame) -> DataFrame:
+    """Recent and baseline totals per grain: all bins for areas, usable points for the grid."""
+    wide = _totals_row(cube)
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(g).alias("grain"), F.col(f"{g}_recent_30").alias("recent_total"),
                  F.col(f"{g}_baseline").alias("baseline_total")) for g in GRAINS
@@ -154,19 +160,17 @@ def _by_grain(config: HotspotConfig, field: str) -> Column:
 
 def hotspot_scores(cube: DataFrame, config: HotspotConfig) -> DataFrame:
     """Shares, ratios, sub-scores, composite score, flag and severity for every candidate."""
-    totals = window_totals(cube)
-    recent_total = {g: totals.filter(F.col("grain") == g).select("recent_total").scalar() for g in GRAINS}
-    base_total = {g: totals.filter(F.col("grain") == g).select("baseline_total").scalar() for g in GRAINS}
+    totals = _totals_row(cube).select(F.struct("*")).scalar()
     is_area = F.col("grain") == "area"
     r7, r30, r90, base = (F.col(c) for c in COUNTS)
     zero = F.lit(0.0)
 
-    rows = union_grains(cube).withColumns({
-        "recent_total": F.when(is_area, recent_total["area"]).otherwise(recent_total["grid"]),
-        "baseline_total": F.when(is_area, base_total["area"]).otherwise(base_total["grid"]),
+    rows = union_grains(cube).withColumn("__t", totals).withColumns({
+        "recent_total": F.when(is_area, F.col("__t.area_recent_30")).otherwise(F.col("__t.grid_recent_30")),
+        "baseline_total": F.when(is_area, F.col("__t.area_baseline")).otherwise(F.col("__t.grid_baseline")),
         "expected": dround(base * float(config.recent_days) / float(config.baseline_days), 6),
         "recent_days": F.lit(config.recent_days), "baseline_days": F.lit(config.baseline_days),
-    })
+    }).drop("__t")
     rows = rows.withColumns({
         "recent_share": F.when(F.col("recent_total") > 0, dround(r30 * 100.0 / F.col("recent_total"), 6)).otherwise(0.0),
         "baseline_share": F.when(F.col("baseline_total") > 0, dround(base * 100.0 / F.col("baseline_total"), 6)).otherwise(0.0),
@@ -221,7 +225,8 @@ def ranked_hotspots(scored: DataFrame) -> DataFrame:
     """Flagged rows with overall rank and rank in the grain."""
     lead = [F.col("score").desc(), F.col("recent_30").desc(), F.col("ratio").desc_nulls_last()]
     place = ["grp", "area", "cell_y", "cell_x", "cat", "cls"]
-    in_grain = rank_within(scored.filter("is_hotspot"), ["grain"], [*lead, *place], "rank_in_grain")
+    flagged = materialize(scored.filter("is_hotspot"))
+    in_grain = rank_within(flagged, ["grain"], [*lead, *place], "rank_in_grain")
     return with_row_id(in_grain, [*lead, "grain", *place], "rank_overall")
 
 

@@ -54,6 +54,17 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(out, key=_key)
 
 
+# Spark type -> oracle type; anything else is compared by name.
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+         "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
+def type_differences(spark_df, con, sql) -> list[str]:
+    """Columns whose declared types do not correspond; needs no execution."""
+    theirs = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [f"{c}: {kind} / {theirs.get(c)}" for c, kind in spark_df.dtypes if TYPES.get(kind, kind) != theirs.get(c)]
+
+
 def differences(spark_df, con, sql) -> tuple[str | None, int]:
     cols_a, a = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
     cur = con.execute(sql)
@@ -93,8 +104,13 @@ def main() -> int:
             df = entry.queries()[name](spark, f"{TESTDATA}/sf{args.sf}")
             if name in oracle:
                 problem, n = differences(df, con, oracle[name])
+                kinds = type_differences(df, con, oracle[name])
+                problem = problem or (f"types: {kinds}" if kinds else None)
             else:
                 problem, n = None, len(df.collect())
+            text = df._jdf.queryExecution().executedPlan().toString()
+            if "CartesianProduct" in text or "BroadcastNestedLoopJoin" in text:
+                problem = problem or "the plan has a nested loop join"
         except Exception as error:  # noqa: BLE001 - report and go on
             problem, n = f"{type(error).__name__}: {str(error)[:700]}", -1
         print(f"{'ok  ' if problem is None else 'FAIL'} {name} rows={n} {time.time() - start:.1f}s {problem or ''}", flush=True)

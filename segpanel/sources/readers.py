@@ -31,14 +31,18 @@ def read_raw_csv(spark: SparkSession, path: str, columns: Sequence[str],
     )
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet rows in at least as many partitions as there are cores.
+def read_parquet(spark: SparkSession, path: str, schema: str | None = None, spread: bool = True) -> DataFrame:
+    """Parquet rows, with ``spread`` in at least as many partitions as there are cores.
+
+    A declared schema saves the job that would read file footers to find it.
 
     A small file with one row group is one task for everything up to the first shuffle, so it is
     spread out; filters and column pruning still reach the scan. A table with enough splits,
     which is every large one, is left alone.
     """
-    table = spark.read.parquet(path)
+    table = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
+    if not spread:
+        return table
     cores = spark.sparkContext.defaultParallelism
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 

@@ -7,6 +7,11 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
+from segpanel.llm.licenses import license_labels
+from segpanel.llm.mixing import mix_sources
+from segpanel.llm.packing import pack_documents
+from segpanel.llm.quality_rules import quality_verdicts
+from segpanel.llm.sharding import shard_digests
 from segpanel.llm.token_counts import token_counts
 from segpanel.llm.token_files import write_token_files
 
@@ -21,12 +26,37 @@ def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return write_token_files(documents(spark, sf), tokenizer_path("byte_bpe_50k.json"), end_id=2).digests()
 
 
+def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(documents(spark, sf), tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=2048)
+
+
+def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_labels(documents(spark, sf))
+
+
+def op7_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_sources(documents(spark, sf))
+
+
+def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_verdicts(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return shard_digests(documents(spark, sf), shards=40)
+
+
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(documents(spark, sf), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
 QUERIES: dict[str, Query] = {
     "op3_token_files": op3_token_files,
+    "op4_packing": op4_packing,
+    "op6_license_scan": op6_license_scan,
+    "op7_source_mixing": op7_source_mixing,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {}

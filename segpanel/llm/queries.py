@@ -12,6 +12,7 @@ from segpanel.llm.mixing import mix_sources
 from segpanel.llm.packing import pack_documents
 from segpanel.llm.quality_rules import quality_verdicts
 from segpanel.llm.sharding import shard_digests
+from segpanel.llm.similar_sets import jaccard_components
 from segpanel.llm.token_counts import token_counts
 from segpanel.llm.token_files import write_token_files
 
@@ -22,6 +23,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf), width=5, percent=80)
+
+
 def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return write_token_files(documents(spark, sf), tokenizer_path("byte_bpe_50k.json"), end_id=2).digests()
 
@@ -51,6 +56,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
     "op6_license_scan": op6_license_scan,

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from segpanel.llm.licenses import license_labels
+from segpanel.llm.line_dedup import dedup_lines
 from segpanel.llm.mixing import mix_sources
+from segpanel.llm.neighbours import nearest
 from segpanel.llm.packing import pack_documents
 from segpanel.llm.quality_rules import quality_verdicts
 from segpanel.llm.sharding import shard_digests
@@ -27,6 +30,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_components(documents(spark, sf), width=5, percent=80)
 
 
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = dedup_lines(documents(spark, sf))
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", "text")
+
+
 def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return write_token_files(documents(spark, sf), tokenizer_path("byte_bpe_50k.json"), end_id=2).digests()
 
@@ -35,6 +43,11 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(documents(spark, sf), tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=2048)
 
 
+def op5_hash_forest(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    return nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_labels(documents(spark, sf))
 
@@ -57,8 +70,10 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_line_dedup": op2_line_dedup,
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
+    "op5_hash_forest": op5_hash_forest,
     "op6_license_scan": op6_license_scan,
     "op7_source_mixing": op7_source_mixing,
     "op8_quality_rules": op8_quality_rules,

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from segpanel.llm.stage import staged
 
-LENGTH = 4
+LENGTH = 3
 CHUNK = 8_192
 QUERY_BLOCK = 256
 
@@ -129,13 +129,13 @@ def _search(key, index: pa.Table, queries: pa.Table, dimension: int, trees: int,
     return pa.table({"q": pa.array(q, pa.int64()), "rep": pa.array(rep, pa.int64()), "score": pa.array(score, pa.float64())})
 
 
-def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, trees: int = 40, seed: int = 11, power: float = 0.8,
+def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, trees: int = 64, seed: int = 11, power: float = 0.8,
             id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest found of every query among all other rows.
 
     score is the inner product in double precision; ties go to the smaller id. A query ascends until the trees
-    offer N ** ``power`` entries of the N in the index (an entry counts in each tree that offers it), and all
-    entries of that level are taken. Rows whose vector is null, empty, zero, holds null or non-finite
+    offer N ** ``power`` entries of the N in the index (an entry counts in each tree that offers it) and k + 1
+    different ones besides its own at least; all entries of that level are taken. Rows whose vector is null, empty, zero, holds null or non-finite
     components, or has another number of components than most vectors take no part, nor do rows without id.
     Rows with equal id and vector are one. Other columns are not looked at. Fewer than ``k`` other
     vectors: all of them. No usable vectors: no rows.
@@ -156,7 +156,9 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, trees: int = 4
     index = staged(with_strings(entries, facts["longest"], dimension, False, trees, seed), "forest")
     questions = entries.join(askers.select("rep").distinct(), "rep", "left_semi")
     questions = staged(with_strings(questions, facts["longest"], dimension, True, trees, seed), "questions")
-    levels = staged(stop_levels(index, questions, width, int(np.ceil(n**power))), "levels")
+    # Entries of one tree differ, so trees * (k + 2) of them are at least k + 2 different ones, the query's own among them.
+    enough = max(int(np.ceil(n**power)), trees * (k + 2))
+    levels = staged(stop_levels(index, questions, width, enough), "levels")
     chunks = -(-n // CHUNK)
     left = index.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.lit(chunks)).cast("int"))
     right = questions.join(levels, "rep").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))

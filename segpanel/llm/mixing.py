@@ -59,8 +59,8 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, power
         given = F.create_map(*pairs)[F.col("source_key")] if pairs else F.lit(None).cast("double")
         sizes = sizes.withColumn("weight", F.coalesce(given, F.lit(0.0)))
     sizes = staged(sizes, "source-sizes")
-    sums = sizes.agg(F.sum("bytes").alias("all_bytes"), F.sum("weight").alias("all_weight"))
-    return sizes.crossJoin(F.broadcast(sums)).select(  # one row of sums
+    all_bytes, all_weight = (sizes.agg(F.sum(c)).scalar() for c in ("bytes", "weight"))
+    return sizes.withColumns({"all_bytes": all_bytes, "all_weight": all_weight}).select(
         "source_key", "rows", "bytes",
         (F.col("weight") / F.col("all_weight") * F.col("all_bytes") * F.lit(float(total)) / F.col("bytes")).alias("rate"))
 

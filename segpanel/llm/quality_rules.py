@@ -146,8 +146,8 @@ def certified_cutoffs(scored: DataFrame, labels: DataFrame, rules: tuple[Rule, .
         F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("good") == 1, 0).otherwise(1)).alias("bad"))
     counts = staged(counts, "rule-counts")
     # From here on there is a row for each stratum, rule and cutoff.
-    strata = counts.agg(F.countDistinct("stratum").alias("strata"))
-    sizes = counts.groupBy("stratum", "rule").agg(F.sum("good").alias("n")).crossJoin(F.broadcast(strata)).withColumn(
+    strata = counts.agg(F.countDistinct("stratum")).scalar()
+    sizes = counts.groupBy("stratum", "rule").agg(F.sum("good").alias("n")).withColumn("strata", strata).withColumn(
         "most", critical_count(F.col("n"), F.lit(risk / len(rules)), F.lit(error) / (F.col("strata") * len(rules))))
     steps = counts.select("stratum", "rule", F.col("passing").alias("at"), "good", "bad", "cutoffs")
     # The cutoff at place p (from 0, the loosest first) rejects the documents that pass at most p cutoffs.
@@ -197,4 +197,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: flo
     columns = docs.columns
     cutoffs = staged(certified_cutoffs(scored_documents(docs), labels, risk=risk, error=error), "cutoffs")
     rows = with_features(docs.select(F.struct(*columns).alias("_row"), "text", _stratum().alias("stratum")))
-    return verdict(rows, cutoffs).filter("kept").select("_row.*")
+    # One condition over both sides of the join with the cutoffs: a conjunct over the features alone would be
+    # pushed through their projections, each of which then holds the ones below several times.
+    stays = (~F.col("base_failed")).cast("int") + F.col("kept").cast("int") == 2
+    return verdict(rows, cutoffs).filter(stays).select("_row.*")

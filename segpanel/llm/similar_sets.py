@@ -111,11 +111,13 @@ def signatures(shingles: np.ndarray, counts: np.ndarray, scheme: Scheme) -> tupl
     largest = np.minimum(reach[sets], bounds[bands + 1] - 1)
     need = n - scheme.differences(size, largest) - (n - filled)
     # Sets with so many empty parts that these alone could agree: their empty parts are signatures too.
+    owners, values = [owner], [value]
     for i in np.flatnonzero(need <= 0):
-        empty = np.setdiff1d(np.arange(n[i], dtype=_U), place[owner == i])
-        owner = np.concatenate([owner, np.full(len(empty), i)])
-        value = np.concatenate([value, mix(mix((empty << _U(20)) ^ _U(bands[i]) ^ _U(1 << 61)))])
-    return sets, bands, np.maximum(need, 1), owner, value
+        a, b = np.searchsorted(owner, [i, i + 1])  # items ascend
+        empty = np.setdiff1d(np.arange(n[i], dtype=_U), place[a:b])
+        owners.append(np.full(len(empty), i))
+        values.append(mix(mix((empty << _U(20)) ^ _U(bands[i]) ^ _U(1 << 61))))
+    return sets, bands, np.maximum(need, 1), np.concatenate(owners), np.concatenate(values)
 
 
 def signature_rows(docs: DataFrame, width: int, scheme: Scheme, buckets: int) -> DataFrame:

@@ -24,8 +24,9 @@ from segpanel.llm.stage import staged
 from segpanel.llm.words import _POWERS, by_size, mix, word_hashes
 
 _U = np.uint64
-#: Keys of lines or documents are broadcast to the texts if there are at most so many; otherwise joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Keys of lines or documents are broadcast to the texts if they hold at most so many values (of 8 bytes about);
+#: otherwise they are joined by a shuffle.
+BROADCAST_VALUES = 4_000_000
 _KEYS = ("k0", "k1", "k2", "k3")
 LINES = "doc_id long, text_key long, line_no int, n int, h long, k0 long, k1 long, k2 long, k3 long"
 POSITION = ("no_id", "doc_id", "text_key", "line_no")
@@ -133,9 +134,10 @@ def _position() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "line_no")
 
 
-def _bounded(rows: DataFrame) -> DataFrame:
-    """``rows`` (a written table) marked for a broadcast if they are few."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else rows
+def _bounded(rows: DataFrame, values: Column) -> DataFrame:
+    """``rows`` (a written table of ``values`` values in each row) marked for a broadcast if they are small."""
+    held = rows.agg(F.sum(values)).first()[0] or 0
+    return F.broadcast(rows) if held <= BROADCAST_VALUES else rows
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -156,7 +158,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     flags = F.transform(F.array(*[F.lit(k) for k in range(4)]), lambda k: F.array_contains("found", k))
     wanted = halves.join(shared, "half", "left_semi").groupBy("h").agg(F.collect_set("which").alias("found")).select("h", flags.alias("open"))
     wanted = staged(wanted.join(distinct, "h").select("h", "open", "first"), "half-shared")
-    keys = _bounded(wanted.select("h", "open", F.col("first.doc_id").alias("_d"), F.col("first.text_key").alias("_k"), F.col("first.line_no").alias("_l")))
+    keys = _bounded(wanted.select("h", "open", F.col("first.doc_id").alias("_d"), F.col("first.text_key").alias("_k"), F.col("first.line_no").alias("_l")), F.lit(8))
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
     lines = lines.join(keys, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")) & (F.col("line_no") == F.col("_l")))
     lines = staged(lines.groupBy("h").agg(F.first("text").alias("text"), F.first("open").alias("open")), "near-candidates")
@@ -201,7 +203,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     per_doc = staged(told.groupBy("doc_id", "text_key").agg(
         F.count("*").alias("n_lines"), F.count_if("exact").alias("n_exact"), F.count_if(F.col("near") & ~F.col("exact")).alias("n_near"),
         F.sort_array(F.collect_list(F.when(F.col("exact") | F.col("near"), F.col("line_no")))).alias("_gone")), "line-verdicts")
-    some = _bounded(per_doc.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "n_lines", "n_exact", "n_near", "_gone"))
+    some = _bounded(per_doc.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "n_lines", "n_exact", "n_near", "_gone"), F.lit(8) + F.size("_gone"))
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     out = keyed.join(some, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
     # Line numbers that stay, then their lines: in proportion to the text's lines.

@@ -9,7 +9,6 @@ from queries.ctes import IN_BOX, NULLS, cell, norm
 from queries.registry import query
 from segpanel.functions import expr as E
 from segpanel.operators.clean import RAW_COLUMNS, prepare, project_allowed, type_rows
-from segpanel.operators.forecast import param_grid
 from segpanel.operators.ranks import with_row_id
 from segpanel.sources import readers, writers
 
@@ -24,6 +23,16 @@ def read_csv_null_tokens(spark, sf):
     return readers.read_raw_csv(spark, path, RAW_COLUMNS)
 
 
+@query("malformed_rows", """SELECT count(*) + count(*) FILTER (WHERE event_id % 50 = 0) AS rows, count(*) FILTER (WHERE event_id % 50 = 0) AS malformed FROM events""")
+def malformed_rows(spark, sf):
+    path = t.scratch(spark, "broken-csv")
+    rows = t.stream_events(spark, sf).select("event_id", "event_type", "user_id")
+    good = rows.select(F.concat_ws(",", "event_id", "event_type", "user_id").alias("line"))
+    cut = rows.filter("event_id % 50 = 0").select(F.concat_ws(",", "event_id", "event_type").alias("line"))
+    good.unionByName(cut).write.text(path)
+    return readers.malformed_rows(spark, path, ["event_id", "event_type", "user_id"], header=False).select("rows", "malformed")
+
+
 @query("limit_rows", "SELECT k, day, grp FROM ev ORDER BY k LIMIT 500")
 def limit_rows(spark, sf):
     return readers.limit_rows(t.events(spark, sf).select("k", "day", "grp"), 500, "k")
@@ -56,13 +65,7 @@ def weekly_calendar(spark, sf):
     return readers.weekly_calendar(bounds, "a", "b")
 
 
-@query("param_grid", """SELECT alpha::DOUBLE AS alpha, beta::DOUBLE AS beta, gamma::DOUBLE AS gamma, shrink::DOUBLE AS shrink,
-  (SELECT count(*) FROM ok) AS scored_events FROM params""")
-def params(spark, sf):
-    return param_grid(spark).withColumn("scored_events", t.eligible(spark, sf).agg(F.count(F.lit(1))).scalar())
-
-
-@query("hash_sample")
+@query("hash_sample", "SELECT event_id, event_type, value FROM events ORDER BY md5('42|' || event_id), event_id LIMIT 1000")
 def hash_sample(spark, sf):
     return readers.fixed_sample(t.stream_events(spark, sf).select("event_id", "event_type", "value"), 1000, 42, "event_id")
 

@@ -107,24 +107,29 @@ def date_range(spark, sf):
     return pb.date_range(t.eligible(spark, sf), t.weekly(spark, sf))
 
 
-CAPACITY = {"grp": pb.SMALL_CODES, "area": pb.SMALL_CODES, "cat": pb.SMALL_CODES, "cls": pb.SMALL_CODES}
-
-
 @query("dictionary_encode", "\nUNION ALL\n".join(
     f"SELECT '{d}' AS dimension, {d} AS label, row_number() OVER (ORDER BY {d}) - 1 AS code FROM (SELECT DISTINCT {d} FROM weekly4)" for d in t.KEYS))
 def dictionary_encode(spark, sf):
     weekly = materialize(t.weekly(spark, sf))
-    parts = [pb.dictionary(weekly, d, c).select(F.lit(d).alias("dimension"), F.col(d).alias("label"), F.col(f"{d}_index").alias("code"))
-             for d, c in CAPACITY.items()]
+    parts = [pb.dictionary(weekly, d).select(F.lit(d).alias("dimension"), F.col(d).alias("label"), F.col(f"{d}_index").alias("code"))
+             for d in t.KEYS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-@query("cube_rows", "SELECT n, " + ", ".join(f"dense_rank() OVER (ORDER BY {d}) - 1 AS {d}_index" for d in ["week", *t.KEYS]) + " FROM weekly4")
+@query("cube_rows", "SELECT n, row_number() OVER (ORDER BY week, grp, area, cat, cls) - 1 AS row_no, " + ", ".join(f"dense_rank() OVER (ORDER BY {d}) - 1 AS {d}_index" for d in ["week", *t.KEYS]) + " FROM weekly4")
 def cube_rows(spark, sf):
-    return pb.cube_rows(materialize(t.weekly(spark, sf)), CAPACITY)
+    return pb.cube_rows(materialize(t.weekly(spark, sf)), t.KEYS)
+
+
+@query("cube_offsets_hit", "SELECT row_number() OVER (ORDER BY week) - 1 AS week_index, true AS found FROM (SELECT DISTINCT week FROM weekly4)")
+def cube_offsets_hit(spark, sf):
+    """Whether each week's offset is the least row number of its rows."""
+    weekly = materialize(t.weekly(spark, sf))
+    first = pb.cube_rows(weekly, t.KEYS).groupBy("week_index").agg(F.min("row_no").alias("row_no"))
+    return first.join(pb.cube_offsets(weekly), "week_index").select("week_index", (F.col("row_no") == F.col("row_start")).alias("found"))
 
 
 @query("cube_offsets", """SELECT row_number() OVER (ORDER BY week) - 1 AS week_index, CAST(sum(k) OVER (ORDER BY week) - k AS BIGINT) AS row_start
@@ -255,72 +260,67 @@ def filter_anomalies(spark, sf):
     return pb.filter_anomalies(sg.ranked(spark, sf), SELECTION, START, END)
 
 
-def _summary_wide(rows):
-    """Row and severity counts as one row."""
-    return rows.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col("severity") == s).alias(s) for s in an.SEVERITIES])
-
-
-@query("signal_status", """SELECT 'anomaly' AS signal, CASE WHEN (SELECT count(*) FROM anoms2) = 0 THEN 'empty' ELSE 'available' END AS status, NULL::VARCHAR AS reason,
-  (SELECT count(*) FROM anoms2) AS rows
-UNION ALL SELECT 'anomaly_old_scoring', 'stale', 'scoring is behind the latest complete week', (SELECT count(*) FROM anoms2 WHERE week < DATE '2001-06-01')
-UNION ALL SELECT 'forecast', CASE WHEN (SELECT count(*) FROM future4) = 0 THEN 'empty' ELSE 'available' END, NULL, (SELECT count(*) FROM future4)
-UNION ALL SELECT 'forecast_lost_segment', 'invalid', 'segments of the forecast and the weekly table differ', (SELECT count(*) FROM future4 WHERE grp <> 'ASIA')""")
+_SEV = ("low", "medium", "high", "critical")
+
+
+def _anomaly_case(name: str, where: str, shifts: dict[str, int], end: str) -> str:
+    """Status of the anomaly rows ``where``, if the metrics count ``shifts`` more rows and scoring ended at ``end``."""
+    more = " + ".join(["0", *map(str, shifts.values())])
+    differ = " OR ".join(f"{s} <> {s} + ({shifts.get(s, 0)})" for s in _SEV)
+    code = f"""CASE WHEN n <> n + ({more}) THEN 'invalid row_count_off' WHEN {differ} THEN 'invalid severity_off' WHEN isodow(e) <> 1 THEN 'invalid scoring_no_monday'
+      WHEN lo < h0 THEN 'invalid before_horizon' WHEN hi > e THEN 'invalid after_scoring' WHEN e < h1 THEN 'stale scored_too_early' WHEN e > h1 THEN 'incompatible scored_too_late'
+      WHEN n = 0 THEN 'empty ' ELSE 'available ' END"""
+    facts = ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in _SEV)
+    return f"""SELECT '{name}' AS signal, split_part(code, ' ', 1) AS status, nullif(split_part(code, ' ', 2), '') AS reason, n AS rows FROM (SELECT n, {code} AS code FROM (
+      SELECT count(*) AS n, {facts}, min(week) AS lo, max(week) AS hi, {end} AS e, (SELECT min(week) FROM weekly4) AS h0, (SELECT max(week) - 7 FROM weekly4) AS h1 FROM anoms2 WHERE {where}))"""
+
+
+_END = "(SELECT max(week) - 7 FROM weekly4)"
+# name: rows, what the metrics table counts too many, end of scoring
+_ANOMALY_CASES = {
+    "anomaly": ("true", {}, _END),
+    "anomaly_metrics_short": ("true", {"low": -1}, _END),
+    "anomaly_severity_moved": ("true", {"low": 1, "medium": -1}, _END),
+    "anomaly_sunday": ("true", {}, f"{_END} + 6"),
+    "anomaly_beyond_scoring": ("true", {}, f"{_END} - 700"),
+    "anomaly_old": ("week < DATE '2001-01-01'", {}, f"{_END} - 28"),
+    "anomaly_ahead": ("true", {}, f"{_END} + 7"),
+    "anomaly_none": ("false", {}, _END),
+}
+_FORECAST_CASES = {
+    "forecast": ("true", "available", None), "forecast_none": ("false", "invalid", "not_one_week"),
+    "forecast_lost_segment": ("grp <> 'ASIA'", "invalid", "segments_off"),
+}
+
+
+def _forecast_case(name: str) -> str:
+    where = _FORECAST_CASES[name][0]
+    return f"""SELECT '{name}', CASE WHEN weeks <> 1 OR segments <> expected OR no_value > 0 OR n <> segments THEN 'invalid' WHEN d < 7 THEN 'stale' WHEN d > 7 THEN 'incompatible' ELSE 'available' END,
+      CASE WHEN weeks <> 1 THEN 'not_one_week' WHEN no_value > 0 THEN 'no_prediction' WHEN n <> segments THEN 'keys_repeat' WHEN segments <> expected THEN 'segments_off'
+      WHEN d < 7 THEN 'week_not_ahead' WHEN d > 7 THEN 'week_too_far' END, n FROM (
+      SELECT count(*) AS n, count(DISTINCT week) AS weeks, count(*) FILTER (WHERE predicted IS NULL) AS no_value, count(DISTINCT (grp, area, cat, cls)) AS segments, min(week) - (SELECT max(week) FROM weekly4) AS d,
+      (SELECT count(*) FROM (SELECT DISTINCT grp, area, cat, cls FROM weekly4)) AS expected FROM future4 WHERE {where})"""
+
+
+@query("signal_status", "\nUNION ALL\n".join([*(_anomaly_case(n, *c) for n, c in _ANOMALY_CASES.items()), *map(_forecast_case, _FORECAST_CASES)]))
 def signal_status(spark, sf):
     weekly, dates, dense_rows = fq.panel(spark, sf)
-    horizon = weekly.agg(F.min("week").alias("first_week"), F.max("week").alias("last_week")).withColumn(
-        "latest_complete", F.date_sub("last_week", 7))
-    scored = materialize(sg.scored(spark, sf))
-    ranked = scored.filter("is_anomaly")
-
-    def anomaly_status(name, rows, scoring_end):
-        facts = _summary_wide(rows).select(F.struct("*").alias("s")).withColumns({
-            "d": rows.agg(F.min("week").alias("lo"), F.max("week").alias("hi")).select(F.struct("*")).scalar(),
-            "h": horizon.select(F.struct("*")).scalar(), "e": scoring_end,
-            "m": _summary_wide(rows).select(F.struct("*")).scalar(),
-        })
-        col = F.col
-        rules = [
-            (col("s.rows") != col("m.rows"), "invalid", "row count differs from the summary"),
-            (F.lit(False) if name == "x" else (col("s.low") != col("m.low")) | (col("s.critical") != col("m.critical")), "invalid", "severity counts differ from the summary"),
-            (F.weekday("e") != 0, "invalid", "scoring week is no Monday"),
-            (F.coalesce(col("d.lo") < col("h.first_week"), F.lit(False)), "invalid", "rows before the observed horizon"),
-            (F.coalesce(col("d.hi") > col("e"), F.lit(False)), "invalid", "rows after the scoring week"),
-            (col("e") < col("h.latest_complete"), "stale", "scoring is behind the latest complete week"),
-            (col("e") > col("h.latest_complete"), "incompatible", "scoring exceeds the latest complete week"),
-        ]
-        out = q.signal_status(facts, rules, col("s.rows") == 0)
-        return out.select(F.lit(name).alias("signal"), "status", "reason", col("s.rows").alias("rows"))
-
+    flagged = materialize(sg.scored(spark, sf).filter("is_anomaly"))
+    last = weekly.agg(F.max("week")).scalar()
+    ends = {"": 7, "_sunday": 1, "_beyond_scoring": 707, "_old": 35, "_ahead": 0}
+    parts = []
+    for name, (where, shifts, _) in _ANOMALY_CASES.items():
+        rows = flagged.filter(where)
+        shift = F.lit(0)
+        for severity, n in shifts.items():
+            shift = F.when(F.col("severity") == severity, F.lit(n)).otherwise(shift)
+        metrics = an.severity_counts(rows).withColumn("rows", F.col("rows") + shift)  # the damaged copy of the published metrics
+        end = F.date_sub(last, ends.get(name.removeprefix("anomaly"), 7))
+        parts.append(q.anomaly_status(rows, metrics, weekly, end).withColumn("signal", F.lit(name)))
     feats = materialize(fc.ml_features(dense_rows, t.KEYS, dates).filter(F.col("week") >= F.lit(dates.validation_start)))
-    future = fc.next_week(fc.predict(feats, fc.fit_best(fc.fit_grid(feats, dates.validation_start, dates.validation_end)), t.KEYS))
-
-    def forecast_status(name, rows):
-        one = rows.agg(
-            F.count(F.lit(1)).alias("rows"), F.countDistinct("week").alias("weeks"), F.countDistinct("model").alias("models"),
-            F.min("week").alias("week"), F.count_if(F.col("predicted").isNull()).alias("no_value"),
-            F.countDistinct(F.struct(*t.KEYS)).alias("segments"))
-        facts = one.withColumns({"last_week": weekly.agg(F.max("week")).scalar(),
-                                 "expected": weekly.select(*t.KEYS).distinct().agg(F.count(F.lit(1))).scalar()})
-        rules = [
-            (F.col("weeks") != 1, "invalid", "not exactly one future week"),
-            (F.col("models") != 1, "invalid", "not exactly one model"),
-            (F.col("no_value") > 0, "invalid", "missing predictions"),
-            (F.col("rows") != F.col("segments"), "invalid", "duplicate forecast keys"),
-            (F.col("segments") != F.col("expected"), "invalid", "segments of the forecast and the weekly table differ"),
-            (F.datediff("week", "last_week") < 7, "stale", "forecast week is not in the future"),
-            (F.datediff("week", "last_week") > 7, "incompatible", "forecast week is too far ahead"),
-        ]
-        return q.signal_status(facts, rules, F.col("rows") == 0).select(F.lit(name).alias("signal"), "status", "reason", "rows")
-
-    last_scored = scored.agg(F.max("week")).scalar()
-    parts = [
-        anomaly_status("anomaly", ranked, last_scored),
-        anomaly_status("anomaly_old_scoring", ranked.filter("week < DATE '2001-06-01'"), F.lit(date(2001, 5, 28))),
-        forecast_status("forecast", future), forecast_status("forecast_lost_segment", future.filter("grp <> 'ASIA'")),
-    ]
+    future = materialize(fc.next_week(fc.predict(feats, fc.fit_best(fc.fit_grid(feats, dates.validation_start, dates.validation_end)), t.KEYS)))
+    parts += [q.forecast_status(future.filter(where), weekly, t.KEYS).withColumn("signal", F.lit(name)) for name, (where, *_) in _FORECAST_CASES.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
-
-
+    return out.select("signal", "status", "reason", "rows")

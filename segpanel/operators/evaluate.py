@@ -71,19 +71,16 @@ def top_k_capture(long: DataFrame, keys: Sequence[str], fraction: str = "0.1", w
     k is the given decimal fraction of the week's cells, rounded up. Ranks come from a range
     partitioned numbering, so a week with very many segments is not one task.
     """
-    # The cells feed the sizes and both sorts, so they are computed once.
+    # Sampling for the first sort reads the cells too, so they are computed once.
     cells = materialize(long.filter(F.col("actual").isNotNull() & F.col("predicted").isNotNull()).select(
         method, week, *keys, "actual", "predicted"
     ))
     group = [method, week]
-    sizes = cells.groupBy(*group).agg(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).cast("decimal(18,0)") * F.lit(fraction).cast("decimal(6,4)")))
-        .cast("bigint").alias("k")
-    )
-    ranked = rank_within(cells, group, [F.col("actual").desc(), *keys], "actual_rank")
-    ranked = rank_within(ranked, group, [F.col("predicted").desc(), *keys], "predicted_rank")
+    ranked = rank_within(cells, group, [F.col("actual").desc(), *keys], "actual_rank", "cells")
+    ranked = rank_within(ranked, group, [F.col("predicted").desc(), *keys], "predicted_rank").withColumn(
+        "k", F.greatest(F.lit(1), F.ceil(F.col("cells").cast("decimal(18,0)") * F.lit(fraction).cast("decimal(6,4)"))).cast("bigint"))
     top = F.col("actual_rank") <= F.col("k")
-    weekly = ranked.join(sizes, group).groupBy(*group).agg(
+    weekly = ranked.groupBy(*group).agg(
         F.max("k").alias("k"),
         F.sum(F.when(top, F.col("actual"))).alias("top_events"),
         F.coalesce(F.sum(F.when(top & (F.col("predicted_rank") <= F.col("k")), F.col("actual"))), F.lit(0)).alias("captured"),

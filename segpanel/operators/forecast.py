@@ -101,23 +101,14 @@ def ml_features(panel: DataFrame, keys: Sequence[str], dates: PanelDates,
 
 def ensemble(alpha: Column, beta: Column, gamma: Column, shrink: Column) -> Column:
     m8, m4, l1, l52 = (F.col(c) for c in FIT_INPUTS)
-    return F.greatest(F.lit(0.0), shrink * (m8 + alpha * (m4 - m8) + beta * (l1 - m4) + gamma * (l52 - m8)))
+    value = shrink * (m8 + alpha * (m4 - m8) + beta * (l1 - m4) + gamma * (l52 - m8))
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), value))  # no parameters, no prediction
 
 
 def _literals(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def param_grid(spark) -> DataFrame:
-    """All parameter combinations as a table."""
-    return (
-        spark.range(1).select(F.explode(_literals(ALPHAS)).alias("alpha"))
-        .select("alpha", F.explode(_literals(BETAS)).alias("beta"))
-        .select("*", F.explode(_literals(GAMMAS)).alias("gamma"))
-        .select("*", F.explode(_literals(SHRINKS)).alias("shrink"))
-    )
-
-
 def fit_grid(features: DataFrame, start: date, end: date, week: str = "week") -> DataFrame:
     """Validation errors of every parameter combination.
 
@@ -187,7 +178,11 @@ def expected_change(forecast: DataFrame, baseline: DataFrame, keys: Sequence[str
 def tag_publishable(forecast: DataFrame, canonical: DataFrame, grp: str = "grp", area: str = "area") -> DataFrame:
     """Add the reason a forecast row is withheld (NULL when it may be published)."""
     mapping = canonical.select(F.col(area), F.col("canonical_grp"))
-    joined = forecast.join(mapping, area, "left")
+    # The unknown area may hold most rows; it maps to nothing and stays out of the join.
+    aside = F.coalesce(is_unknown(area), F.lit(True))
+    columns = [*forecast.columns, "canonical_grp"]
+    joined = forecast.filter(~aside).join(mapping, area, "left").select(*columns).unionByName(
+        forecast.filter(aside).withColumn("canonical_grp", F.lit(None).cast("string")).select(*columns))
     unmappable = is_unknown(grp) | is_unknown(area) | ~mappable_area(area) | F.col("canonical_grp").isNull()
     reason = F.when(unmappable, "unmappable").when(F.col(grp) != F.col("canonical_grp"), "mismatch")
     return joined.withColumn("withheld_reason", reason).withColumn("location_key", location_key(area))

@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 
 from segpanel.functions.expr import UNKNOWN, dround, label_match, pct
 from segpanel.operators.aggregate import dominant_value
-from segpanel.operators.ranks import top_ranked
-
-# How many codes each dictionary index width can hold.
-SMALL_CODES, WIDE_CODES = 256, 65_536
+from segpanel.operators.ranks import top_ranked, with_row_id
 
 
 def date_range(events: DataFrame, weekly: DataFrame, time: str = "day", week: str = "week",
@@ -46,29 +43,28 @@ def distinct_dimensions(tables: Sequence[DataFrame], dims: Sequence[str]) -> Dat
     return out.distinct()
 
 
-def dictionary(table: DataFrame, dim: str, capacity: int) -> DataFrame:
-    """Sorted labels with 0-based codes. Fails when there are more labels than codes, so the
-    table that is numbered and later broadcast is never larger than ``capacity``."""
+def dictionary(table: DataFrame, dim: str) -> DataFrame:
+    """Sorted labels with 0-based codes, however many there are."""
     labels = table.select(F.col(dim).cast("string").alias(dim)).filter(F.col(dim).isNotNull()).distinct()
-    size = labels.limit(capacity + 1).count()
-    if size > capacity:
-        raise ValueError(f"{dim} has more than {capacity} labels")
-    code = (F.row_number().over(Window.orderBy(dim)) - 1).cast("bigint")
-    return labels.withColumn(f"{dim}_index", code)
+    return with_row_id(labels, [dim], "__code").withColumn(f"{dim}_index", F.col("__code") - 1).drop("__code")
 
 
-def dictionary_encode(table: DataFrame, capacities: Mapping[str, int]) -> DataFrame:
-    """Replace labels by codes; dictionaries have a checked size and are broadcast."""
+def dictionary_encode(table: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """Replace labels by codes; Spark decides how a dictionary is joined by its size."""
     out = table
-    for dim, capacity in capacities.items():
-        out = out.join(F.broadcast(dictionary(table, dim, capacity)), dim, "left").drop(dim)
+    for dim in dims:
+        out = out.withColumn(dim, F.col(dim).cast("string")).join(dictionary(table, dim), dim, "left").drop(dim)
     return out
 
 
-def cube_rows(weekly: DataFrame, dims: Mapping[str, int], week: str = "week", value: str = "n") -> DataFrame:
-    """Encoded weekly rows: week index, dimension codes and the count."""
-    coded = dictionary_encode(weekly, {week: WIDE_CODES, **dims})
-    return coded.select(f"{week}_index", *[f"{d}_index" for d in dims], F.col(value).cast("bigint").alias(value))
+def cube_rows(weekly: DataFrame, dims: Sequence[str], week: str = "week", value: str = "n") -> DataFrame:
+    """Encoded weekly rows in the cube's order: row number from 0, week and dimension codes and the count.
+
+    ``cube_offsets`` gives the row number of each week's first row.
+    """
+    coded = dictionary_encode(with_row_id(weekly, [week, *dims], "__row"), [week, *dims])
+    return coded.select((F.col("__row") - 1).alias("row_no"), f"{week}_index", *[f"{d}_index" for d in dims],
+                        F.col(value).cast("bigint").alias(value))
 
 
 def cube_offsets(weekly: DataFrame, week: str = "week") -> DataFrame:

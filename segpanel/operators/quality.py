@@ -317,8 +317,9 @@ def reconcile_totals(events: DataFrame, weekly: DataFrame, keys: Sequence[str],
 
 def key_set_diff(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys on one side only."""
-    missing = expected.select(*keys).distinct().join(actual, list(keys), "left_anti")
-    surplus = actual.select(*keys).distinct().join(expected, list(keys), "left_anti")
+    want, have = expected.select(*keys).distinct(), actual.select(*keys).distinct()
+    missing = want.join(have, list(keys), "left_anti")
+    surplus = have.join(want, list(keys), "left_anti")
     return missing.withColumn("status", F.lit("missing")).unionByName(
         surplus.withColumn("status", F.lit("unexpected"))
     )
@@ -373,6 +374,83 @@ def signal_status(facts: DataFrame, rules: Sequence[tuple[Column, str, str]], em
     )
 
 
+SEVERITY_NAMES = ("low", "medium", "high", "critical")
+
+
+def _one(df: DataFrame) -> Column:
+    return df.select(F.struct("*")).scalar()
+
+
+def _by_severity(rows: DataFrame, amount: Column) -> DataFrame:
+    """Total and per severity sums of ``amount`` as one row."""
+    def total(column: Column) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0)).cast("bigint")
+    return rows.agg(total(amount).alias("rows"), *[total(F.when(F.col("severity") == s, amount)).alias(s) for s in SEVERITY_NAMES])
+
+
+def _severities_differ() -> Column:
+    out = F.lit(False)
+    for s in SEVERITY_NAMES:
+        out = out | (F.col(f"s.{s}") != F.col(f"m.{s}"))
+    return out
+
+
+def anomaly_status(flagged: DataFrame, metrics: DataFrame, weekly: DataFrame, scoring_end: Column, week: str = "week") -> DataFrame:
+    """status, reason, rows of an anomaly table against its metrics (severity, rows), which are a table of their own,
+    the weekly table's horizon and the week up to which it was scored. The last observed week counts as partial."""
+    h = weekly.agg(F.min(week).alias("first_week"), F.date_sub(F.max(week), 7).alias("complete"))
+    d = flagged.agg(F.min(week).alias("lo"), F.max(week).alias("hi"))
+    facts = _by_severity(flagged, F.lit(1)).select(F.struct("*").alias("s")).withColumns(
+        {"m": _one(_by_severity(metrics, F.col("rows"))), "d": _one(d), "h": _one(h), "e": scoring_end})
+    col = F.col
+    rules = [
+        (col("s.rows") != col("m.rows"), "invalid", "row_count_off"),
+        (_severities_differ(), "invalid", "severity_off"),
+        (F.weekday("e") != 0, "invalid", "scoring_no_monday"),
+        (F.coalesce(col("d.lo") < col("h.first_week"), F.lit(False)), "invalid", "before_horizon"),
+        (F.coalesce(col("d.hi") > col("e"), F.lit(False)), "invalid", "after_scoring"),
+        (col("e") < col("h.complete"), "stale", "scored_too_early"),
+        (col("e") > col("h.complete"), "incompatible", "scored_too_late"),
+    ]
+    return signal_status(facts, rules, col("s.rows") == 0).select("status", "reason", col("s.rows").alias("rows"))
+
+
+def hotspot_status(flagged: DataFrame, metrics: DataFrame, last_day: Column, max_age_days: int = 1) -> DataFrame:
+    """status, reason, rows of a hotspot table against its metrics and the last observed day."""
+    d = flagged.agg(F.min("snapshot_day").alias("lo"), F.max("snapshot_day").alias("hi"))
+    facts = _by_severity(flagged, F.lit(1)).select(F.struct("*").alias("s")).withColumns(
+        {"m": _one(_by_severity(metrics, F.col("rows"))), "d": _one(d), "last": last_day})
+    some, age = F.col("s.rows") > 0, F.datediff("last", "d.hi")
+    rules = [
+        (F.col("s.rows") != F.col("m.rows"), "invalid", "row_count_off"),
+        (_severities_differ(), "invalid", "severity_off"),
+        (some & (F.col("d.lo") != F.col("d.hi")), "invalid", "several_snapshots"),
+        (some & F.coalesce(age > max_age_days, F.lit(True)), "stale", "snapshot_old"),
+        (some & F.coalesce(age < 0, F.lit(True)), "incompatible", "snapshot_ahead"),
+    ]
+    return signal_status(facts, rules, ~some).select("status", "reason", F.col("s.rows").alias("rows"))
+
+
+def forecast_status(rows: DataFrame, weekly: DataFrame, keys: Sequence[str], week: str = "week") -> DataFrame:
+    """status, reason, rows of a next-week forecast against the segments and the horizon of the weekly table."""
+    one = rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct(week).alias("weeks"), F.countDistinct("model").alias("models"),
+        F.min(week).alias("week"), F.count_if(F.col("predicted").isNull()).alias("no_value"),
+        F.countDistinct(F.struct(*keys)).alias("segments"))
+    facts = one.withColumns({"last_week": weekly.agg(F.max(week)).scalar(),
+                             "expected": weekly.select(*keys).distinct().agg(F.count(F.lit(1))).scalar()})
+    rules = [
+        (F.col("weeks") != 1, "invalid", "not_one_week"),
+        (F.col("models") != 1, "invalid", "not_one_model"),
+        (F.col("no_value") > 0, "invalid", "no_prediction"),
+        (F.col("rows") != F.col("segments"), "invalid", "keys_repeat"),
+        (F.col("segments") != F.col("expected"), "invalid", "segments_off"),
+        (F.datediff("week", "last_week") < 7, "stale", "week_not_ahead"),
+        (F.datediff("week", "last_week") > 7, "incompatible", "week_too_far"),
+    ]
+    return signal_status(facts, rules, F.col("rows") == 0).select("status", "reason", "rows")
+
+
 def forecast_reconcile(published: DataFrame, source: DataFrame, summary: DataFrame) -> DataFrame:
     """Recompute what a published forecast claims: change arithmetic, counts and totals."""
     base, pred = F.col("baseline"), F.col("predicted")

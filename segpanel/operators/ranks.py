@@ -1,7 +1,7 @@
 """Dense numbering, ranks and running totals without a single-task window.
 
 The rows are range partitioned on the complete sort key, so a frequent leading value spreads
-over many tasks. The sorted rows are written to the reliable checkpoint folder once: positions
+over many tasks. The sorted rows are written to the shared folder once: positions
 then stay fixed even if an executor is lost. Only one row per partition goes through the final
 prefix sum.
 """
@@ -37,8 +37,8 @@ def _offsets(staged: DataFrame, amount: Column) -> DataFrame:
     return sums.select(_PART, F.coalesce(F.sum("__amount").over(before), F.lit(0)).alias("__before"))
 
 
-def with_row_id(df: DataFrame, order: Sequence[Column | str], name: str = "row_id") -> DataFrame:
-    """Dense 1..N numbers in the given total order."""
+def _numbered(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Dense 1..N numbers, and the partition that holds the row."""
     staged = _staged(df, order)
     offsets = _offsets(staged, F.count(F.lit(1)))
     local = F.col(_POS).bitwiseAND(F.lit((1 << 33) - 1))
@@ -46,10 +46,15 @@ def with_row_id(df: DataFrame, order: Sequence[Column | str], name: str = "row_i
         staged.withColumn(_PART, F.shiftright(_POS, 33))
         .join(F.broadcast(offsets), _PART)
         .withColumn(name, (local + F.col("__before") + 1).cast("bigint"))
-        .drop(_POS, _PART, "__before")
+        .drop(_POS, "__before")
     )
 
 
+def with_row_id(df: DataFrame, order: Sequence[Column | str], name: str = "row_id") -> DataFrame:
+    """Dense 1..N numbers in the given total order."""
+    return _numbered(df, order, name).drop(_PART)
+
+
 def running_total(df: DataFrame, order: Sequence[Column | str], value: str,
                   name: str = "running_total") -> DataFrame:
     """Inclusive running sum in the given total order."""
@@ -71,20 +76,25 @@ def _same(left: DataFrame, right: DataFrame, columns: Sequence[str], suffix: str
 
 
 def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
-                name: str = "rank") -> DataFrame:
-    """Dense 1..n numbers inside every group, without holding a group in one task.
+                name: str = "rank", size: str | None = None) -> DataFrame:
+    """Dense 1..n numbers inside every group, without holding a group in one task; ``size`` names n.
 
     A group is a run of the global numbering, so the rank is the global number minus the
-    number of the group's first row.
+    number of the group's first row. That number is joined on partition and group: there are at most
+    groups + partitions such pairs, and a large group is as many keys as it has partitions.
     """
-    numbered = with_row_id(df, [F.col(c).asc_nulls_last() for c in by] + _as_columns(order), "__row")
-    starts = numbered.groupBy(*by).agg(F.min("__row").alias("__first"))
-    starts = starts.select(*[F.col(c).alias(c + "__g") for c in by], "__first")
-    joined = numbered.join(starts, _same(numbered, starts, by, "__g"))
-    return (
-        joined.withColumn(name, F.col("__row") - F.col("__first") + 1)
-        .drop("__row", "__first", *[c + "__g" for c in by])
+    numbered = _numbered(df, [F.col(c).asc_nulls_last() for c in by] + _as_columns(order), "__row")
+    pieces = numbered.groupBy(_PART, *by).agg(F.min("__row").alias("__least"), F.count(F.lit(1)).alias("__n"))
+    group = Window.partitionBy(*by)
+    starts = pieces.select(
+        F.col(_PART).alias(_PART + "__g"), *[F.col(c).alias(c + "__g") for c in by],
+        F.min("__least").over(group).alias("__first"), F.sum("__n").over(group).alias("__size"),
     )
+    joined = numbered.join(starts, _same(numbered, starts, [_PART, *by], "__g"))
+    ranked = joined.withColumn(name, F.col("__row") - F.col("__first") + 1)
+    if size:
+        ranked = ranked.withColumn(size, F.col("__size"))
+    return ranked.drop("__row", "__first", "__size", _PART, _PART + "__g", *[c + "__g" for c in by])
 
 
 def top_within(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], n: int,

@@ -173,8 +173,13 @@ def rolling_mean(table: DataFrame, keys: Sequence[str], period: str, n: int, min
     return table.withColumn(name, PriorRows(keys, period, value).moving_mean(n, min_periods))
 
 
+def _first(rows: DataFrame, n: int | None, *order: Column | str) -> DataFrame:
+    """All rows, or the first n of a report."""
+    return rows if n is None else rows.orderBy(*order).limit(n)
+
+
 def recent_vs_prior(events: DataFrame, keys: Sequence[str], time: str, days: int = 90,
-                    min_total: int = 100, limit: int = 100) -> DataFrame:
+                    min_total: int = 100, limit: int | None = None) -> DataFrame:
     """Count per key tuple in the last days against the same span before."""
     last = events.agg(F.max(time)).scalar()
     age = F.datediff(last, F.col(time))
@@ -191,11 +196,11 @@ def recent_vs_prior(events: DataFrame, keys: Sequence[str], time: str, days: int
         F.abs(change).alias("magnitude"),
         F.when(change > 0, "increase").when(change < 0, "decrease").otherwise("no change").alias("direction"),
     )
-    return out.orderBy(F.col("change").desc(), *keys).limit(limit)
+    return _first(out, limit, F.col("change").desc(), *keys)
 
 
 def monthly_zscore(monthly: DataFrame, keys: Sequence[str], month: str = "month", value: str = "n",
-                   months: int = 12, min_prior: int = 6, limit: int = 100) -> DataFrame:
+                   months: int = 12, min_prior: int = 6, limit: int | None = None) -> DataFrame:
     """Months far above the trailing observed months of their key tuple."""
     sums = monthly.groupBy(month, *keys).agg(F.sum(value).cast("bigint").alias("total"))
     prior = PriorRows(keys, month, "total")
@@ -206,7 +211,7 @@ def monthly_zscore(monthly: DataFrame, keys: Sequence[str], month: str = "month"
     z = dround((F.col("total") - F.col("mean")) / F.col("std"), 4)
     out = scored.select(month, *keys, "total", dround("mean", 4).alias("trailing_mean"),
                         dround("std", 4).alias("trailing_std"), z.alias("z_score"))
-    return out.orderBy(F.col("z_score").desc(), month, *keys).limit(limit)
+    return _first(out, limit, F.col("z_score").desc(), month, *keys)
 
 
 def crosstab(df: DataFrame, keys: Sequence[str], min_rows: int = 0, value: Column | None = None) -> DataFrame:
@@ -214,7 +219,7 @@ def crosstab(df: DataFrame, keys: Sequence[str], min_rows: int = 0, value: Colum
     return counts.filter(F.col("rows") >= min_rows) if min_rows else counts
 
 
-def grid_density(points: DataFrame, digits: int, min_rows: int = 10, limit: int = 100) -> DataFrame:
+def grid_density(points: DataFrame, digits: int, min_rows: int = 10, limit: int | None = None) -> DataFrame:
     """Rounded-grid density; distinct labels come from a second, smaller aggregation."""
     cell = ["cell_x", "cell_y"]
     rows = points.select(E.grid_round("x", digits).alias("cell_x"), E.grid_round("y", digits).alias("cell_y"),
@@ -223,7 +228,7 @@ def grid_density(points: DataFrame, digits: int, min_rows: int = 10, limit: int
     out = fine.groupBy(*cell).agg(
         F.sum("k").alias("rows"), F.countDistinct("cat").alias("cats"), F.countDistinct("grp").alias("grps")
     ).filter(F.col("rows") >= min_rows)
-    return out.orderBy(F.col("rows").desc(), *cell).limit(limit)
+    return _first(out, limit, F.col("rows").desc(), *cell)
 
 
 def lag_distribution(df: DataFrame, days: Column) -> DataFrame:

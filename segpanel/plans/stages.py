@@ -18,6 +18,7 @@ from segpanel.operators import anomaly, clean, evaluate, forecast, hotspot, publ
 from segpanel.operators.aggregate import monthly_counts, reaggregate, weekly_counts, weighted_bins
 from segpanel.operators.panel import dense_panel, panel_dates, scoring_end
 from segpanel.roles import AnomalyConfig, HotspotConfig, QualityConfig
+from segpanel.sources.readers import read_metrics
 from segpanel.sources.writers import write_metrics, write_parquet
 
 KEYS = ["grp", "area", "cat", "cls"]
@@ -47,9 +48,10 @@ def clean_and_aggregate(spark: SparkSession, raw: DataFrame, layout: Layout, con
     they need. Clean rows are partitioned by year, so later date ranges prune directories.
     """
     events = clean.project_allowed(clean.clean_events(raw, config), CLEAN_COLUMNS)
-    events.withColumn("year", F.coalesce(F.year("start_day"), F.lit(0))).write.mode("overwrite").partitionBy(
-        "year"
-    ).parquet(layout.table("clean"))
+    # Ineligible years share a directory; a year's rows go to a few tasks, not to a file of every task.
+    year = F.when(F.col("is_eligible"), F.year("start_day")).otherwise(F.lit(0))
+    events.withColumn("year", year).repartition("year", F.pmod(F.xxhash64("event_id"), F.lit(16))).write.mode(
+        "overwrite").partitionBy("year").parquet(layout.table("clean"))
     rows = layout.read(spark, "clean").drop("year")
     for name, counts, period in (("weekly", weekly_counts, "week"), ("monthly", monthly_counts, "month")):
         write_parquet(counts(rows, "start_day", KEYS, F.col("is_eligible")), layout.table(name), [period, *KEYS])
@@ -57,8 +59,9 @@ def clean_and_aggregate(spark: SparkSession, raw: DataFrame, layout: Layout, con
     write_metrics(quality.date_coverage(rows, ["start_day", "end_day", "report_day"]), layout.table("metrics_dates"))
 
 
-def build_forecasts(spark: SparkSession, layout: Layout, keys: Sequence[str] = KEYS, **windows) -> None:
-    """Weekly counts to baselines, the fitted ensemble, and their errors."""
+def build_forecasts(spark: SparkSession, layout: Layout, keys: Sequence[str] = KEYS,
+                    levels_by: Sequence[str] = ("grp", "cat"), **windows) -> None:
+    """Weekly counts to baselines, the fitted ensemble, their errors at the levels of ``levels_by``, and the best baseline."""
     keys = list(keys)
     weekly = reaggregate(layout.read(spark, "weekly"), "week", keys, "n")
     dates = panel_dates(weekly, **windows)
@@ -77,8 +80,15 @@ def build_forecasts(spark: SparkSession, layout: Layout, keys: Sequence[str] = K
     long = forecast.unpivot_methods(layout.read(spark, "baselines"), keys)
     model = layout.read(spark, "predictions").filter("is_backtest").withColumnRenamed("model", "method")
     both = long.unionByName(model.select(*long.columns))
-    levels = [[], [keys[0]], [keys[-1]], [keys[0], keys[-1]]]
-    write_metrics(evaluate.metric_levels(both, [keys[0], keys[-1]], levels), layout.table("metrics_errors"))
+    first, second = levels_by
+    levels = [[], [first], [second], [first, second]]
+    write_metrics(evaluate.metric_levels(both, [first, second], levels), layout.table("metrics_errors"))
+    baselines = evaluate.error_metrics(long)
+    evaluate.best_method(baselines).write.mode("overwrite").parquet(layout.table("best_baseline"))
+    won = layout.read(spark, "best_baseline").select("method")
+    for name, rows in (("baseline", long.join(F.broadcast(won), "method", "left_semi")), ("model", model)):
+        hard = evaluate.hardest_segments(rows, [first, second])
+        write_metrics(hard, layout.table(f"metrics_hardest_{name}"))
     write_metrics(evaluate.top_k_capture(both, keys), layout.table("metrics_capture"))
 
 
@@ -111,12 +121,35 @@ def score_hotspots(spark: SparkSession, layout: Layout, config: HotspotConfig) -
     write_metrics(hotspot.severity_counts(candidates), layout.table("metrics_hotspots"))
 
 
-def publish_tables(spark: SparkSession, layout: Layout, baseline: str = "trailing_8_week_mean") -> None:
-    """Published forecast, signals and summaries from the stage tables."""
+def publish_tables(spark: SparkSession, layout: Layout, baseline: str | None = None) -> None:
+    """Published forecast, signals and summaries from the stage tables.
+
+    Changes are against the named baseline, or the one that the forecast stage found best. A signal whose
+    status is not available is written without rows.
+    """
+    if baseline is None:
+        best = layout.read(spark, "best_baseline").first()
+        if best is None:
+            raise ValueError("no baseline has predictions to compare with")
+        baseline = best["method"]
     weekly = layout.read(spark, "weekly")
     future = forecast.next_week(layout.read(spark, "predictions"))
+    anomalies, hotspots = layout.read(spark, "anomalies"), layout.read(spark, "hotspots")
+    scored_to = layout.read(spark, "anomaly_candidates").agg(F.max("week")).scalar()
+    last_day = layout.read(spark, "clean").filter("is_eligible").agg(F.max("start_day")).scalar()
+    statuses = {
+        "forecast": quality.forecast_status(future, weekly, KEYS),
+        "anomalies": quality.anomaly_status(anomalies, _metrics(spark, layout, "metrics_anomalies"), weekly, scored_to),
+        "hotspots": quality.hotspot_status(hotspots, _metrics(spark, layout, "metrics_hotspots"), last_day),
+    }
+    told = {name: status.first() for name, status in statuses.items()}  # one row each
+    rows = [(name, r["status"], r["reason"], r["rows"]) for name, r in told.items()]
+    write_metrics(spark.createDataFrame(rows, "signal string, status string, reason string, rows bigint"), layout.table("metrics_signals"))
+
+    def gated(name: str, table: DataFrame) -> DataFrame:
+        return table if told[name]["status"] == "available" else table.limit(0)
     lines = forecast.next_week(layout.read(spark, "baselines")).withColumn("baseline", F.col(baseline))
-    changes = forecast.expected_change(future, lines, KEYS)
+    changes = forecast.expected_change(gated("forecast", future), lines, KEYS)
     tagged = forecast.tag_publishable(changes, publish.canonical_groups(weekly))
     tagged.write.mode("overwrite").parquet(layout.table("forecast_tagged"))
     tagged = layout.read(spark, "forecast_tagged")
@@ -125,7 +158,16 @@ def publish_tables(spark: SparkSession, layout: Layout, baseline: str = "trailin
     write_metrics(forecast.publish_summary(tagged), layout.table("metrics_publish"))
     write_parquet(forecast.area_forecast(shown), layout.table("published_areas"),
                   [F.col("predicted").desc(), F.col("area_no").asc_nulls_last(), "area"])
-    write_parquet(publish.published_anomalies(layout.read(spark, "anomalies"), KEYS),
+    write_parquet(publish.published_anomalies(gated("anomalies", anomalies), KEYS),
                   layout.table("published_anomalies"), ["rank_overall"])
-    write_parquet(publish.published_hotspots(layout.read(spark, "hotspots")), layout.table("published_hotspots"),
+    write_parquet(publish.published_hotspots(gated("hotspots", hotspots)), layout.table("published_hotspots"),
                   ["rank_overall"])
+    write_parquet(publish.cube_rows(weekly, KEYS), layout.table("cube"), ["row_no"])
+    write_metrics(publish.cube_offsets(weekly), layout.table("cube_offsets"))
+    write_parquet(publish.canonical_groups(weekly), layout.table("canonical_groups"), ["area"])
+    write_parquet(publish.areas_by_group(weekly), layout.table("areas_by_group"), ["grp", "area"])
+
+
+def _metrics(spark: SparkSession, layout: Layout, name: str) -> DataFrame:
+    """Severity counts as the scoring stage published them."""
+    return read_metrics(spark, layout.table(name), "severity string, rows bigint")

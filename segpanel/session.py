@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,10 +43,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the reliable checkpoint folder and read it from there.
+    """Write ``df`` once below the shared folder and read it back.
 
     Used where a table much smaller than its input feeds several branches, and where
-    row positions must not change if a lost executor makes Spark recompute a task.
+    row positions must not change if a lost executor makes Spark recompute a task. Parquet keeps column
+    pruning and filters for the readers; ``clear_stages`` removes what a session has written.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{_run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _run_folder(spark: SparkSession) -> str:
+    return f"{spark.sparkContext.getCheckpointDir()}/stages-{spark.sparkContext.applicationId}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` has written in this application; they must not be read any more."""
+    if spark.sparkContext.getCheckpointDir() is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

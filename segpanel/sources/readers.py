@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from datetime import date
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,35 +14,46 @@ RING = T.ArrayType(POSITION)
 POLYGON = T.ArrayType(RING)
 
 
+CORRUPT = "_corrupt"
+
+
+def _text_rows(spark: SparkSession, path: str, columns: Sequence[str], header: bool = True) -> DataFrame:
+    """All columns text; ``CORRUPT`` holds a line that doesn't fit and is null otherwise.
+
+    Whole lines are parsed whatever columns a query needs, so which lines are malformed depends
+    on the file alone.
+    """
+    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in columns], T.StructField(CORRUPT, T.StringType())])
+    reader = spark.read.schema(schema).options(
+        header=header, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning=False)
+    return reader.csv(path)
+
+
 def read_raw_csv(spark: SparkSession, path: str, columns: Sequence[str],
                  null_tokens: Iterable[str] = NULL_TOKENS) -> DataFrame:
-    """Header CSV, all columns text, malformed lines dropped, null tokens turned into NULL.
+    """Header CSV, all columns text, malformed lines set aside, null tokens turned into NULL.
 
-    The given column list is the schema, so no pass over the data is spent on inference.
+    The given column list is the schema, so no pass over the data is spent on inference;
+    ``malformed_rows`` counts what was set aside.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.csv(path, schema=schema, header=True, mode="DROPMALFORMED",
-                         enforceSchema=False)
+    raw = _text_rows(spark, path, columns).filter(F.col(CORRUPT).isNull())
     tokens = sorted({t.upper() for t in null_tokens})
     return raw.select(
         *[F.when(~F.upper(F.trim(F.col(c))).isin(tokens), F.col(c)).alias(c) for c in columns]
     )
 
 
-def read_parquet(spark: SparkSession, path: str, schema: str | None = None, spread: bool = True) -> DataFrame:
-    """Parquet rows, with ``spread`` in at least as many partitions as there are cores.
+def malformed_rows(spark: SparkSession, path: str, columns: Sequence[str], header: bool = True) -> DataFrame:
+    """One row: lines read and lines set aside as malformed."""
+    # Spark refuses to read the corrupt lines alone, so the first column is read with them.
+    read = F.coalesce(F.length(columns[0]), F.lit(0)) >= 0
+    return _text_rows(spark, path, columns, header).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col(CORRUPT).isNotNull() & read).alias("malformed"))
 
-    A declared schema saves the job that would read file footers to find it.
 
-    A small file with one row group is one task for everything up to the first shuffle, so it is
-    spread out; filters and column pruning still reach the scan. A table with enough splits,
-    which is every large one, is left alone.
-    """
-    table = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
-    if not spread:
-        return table
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+def read_parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Parquet rows. A declared schema saves the job that would read file footers to find it."""
+    return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
 
 def read_metrics(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -86,31 +95,13 @@ def weekly_calendar(bounds: DataFrame, first: Column | str, last: Column | str,
     return bounds.select(F.explode(steps).alias(week))
 
 
-def calendar_between(spark: SparkSession, first: date, last: date, week: str = "week") -> DataFrame:
-    return weekly_calendar(spark.range(1), F.lit(first), F.lit(last), week)
-
-
-def values_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A small literal table, such as method names."""
-    return spark.createDataFrame(list(rows), schema)
-
-
 def limit_rows(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """First n rows of a total order, for smoke runs."""
     return df.orderBy(*order).limit(n)
 
 
 def fixed_sample(df: DataFrame, n: int, seed: int, *identity: str) -> DataFrame:
-    """Exactly n rows, the same ones on every run: the n smallest seeded hashes of the identity.
-
-    A hash bound that leaves a little more than n rows is applied first, so only those few are
-    sorted and merged. If chance or repeated identities leave fewer, all rows are sorted instead.
-    """
-    mark = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(c) for c in identity]), 11)
-    total = df.count()
-    rows = df
-    if total > 2 * n:
-        bound = int((n + 8 * n**0.5 + 64) / total * 2**53)
-        near = df.filter(mark < bound)
-        rows = near if near.count() >= n else df
-    return rows.orderBy(mark, *identity).limit(n)
+    """Exactly n rows (all, if fewer), the same ones on every run: those with the n smallest hashes
+    of seed and identity. Each task keeps n rows at most before they meet."""
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in identity]))
+    return df.orderBy(mark, *identity).limit(n)

@@ -81,7 +81,7 @@ def test_date_range(spark, weekly):
 
 
 def test_cube_decodes_to_the_same_total_and_offsets(weekly):
-    cube = pb.cube_rows(weekly, {k: pb.SMALL_CODES for k in KEYS})
+    cube = pb.cube_rows(weekly, KEYS)
     assert cube.count() == weekly.count() and cube.agg(F.sum("n")).first() == weekly.agg(F.sum("n")).first()
     offsets = {r["week_index"]: r["row_start"] for r in pb.cube_offsets(weekly).collect()}
     assert offsets[0] == 0 and offsets[12] == weekly.count()
@@ -89,10 +89,12 @@ def test_cube_decodes_to_the_same_total_and_offsets(weekly):
     assert all(offsets[i + 1] - offsets[i] == k for i, k in per_week.items())
 
 
-def test_dictionary_refuses_to_overflow(weekly):
-    with pytest.raises(ValueError):
-        pb.dictionary(weekly, "area", 2)
-    assert pb.dictionary(weekly, "area", 3).count() == 3
+def test_dictionary_has_no_limit(spark):
+    labels = spark.range(300).selectExpr("printf('a%03d', id) AS area", "date'2024-01-01' AS week", "id AS n")
+    got = {r["area"]: r["area_index"] for r in pb.dictionary(labels, "area").collect()}
+    assert got == {f"a{i:03d}": i for i in range(300)}
+    cube = pb.cube_rows(labels, ["area"]).collect()
+    assert sorted((r["row_no"], r["area_index"], r["n"]) for r in cube) == [(i, i, i) for i in range(300)]
 
 
 def test_slices(weekly):

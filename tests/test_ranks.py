@@ -99,3 +99,21 @@ def test_sample_is_exact_and_repeatable(skewed):
     assert a != {r["id"] for r in fixed_sample(skewed, 100, 8, "id").collect()}
     assert fixed_sample(skewed, 100, 7, "grp").count() == 100  # few distinct identities
     assert fixed_sample(skewed, 5000, 7, "id").count() == 3000
+
+
+def test_large_groups_are_not_one_task(spark, plan):
+    """Without broadcasts no exchange of the rows hashes the group alone."""
+    df = spark.range(1000).selectExpr("id", "id % 2 AS g", "id % 7 AS v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(rank_within(df, ["g"], ["v", "id"], size="n"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    on_group_alone = [x for x in text.splitlines() if "hashpartitioning(g#" in x or "hashpartitioning(coalesce(g#" in x]
+    assert "hashpartitioning(coalesce(__part" in text and len(on_group_alone) <= 1  # the pieces: a row for each group and partition
+
+
+def test_rank_within_gives_group_sizes(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), (None, 2), ("b", 9), (None, 1)], "g string, v int")
+    assert sorted((r["g"] or "", r["v"], r["rank"], r["n"]) for r in rank_within(df, ["g"], ["v"], size="n").collect()) == [
+        ("", 1, 1, 2), ("", 2, 2, 2), ("a", 1, 1, 2), ("a", 3, 2, 2), ("b", 9, 1, 1)]

@@ -42,6 +42,10 @@ def test_forecast_tables(spark, layout):
     assert layout.read(spark, "parameters").count() == 1
     errors = spark.read.json(layout.table("metrics_errors"))
     assert errors.filter("level_id = 3").count() == 5
+    assert {"grp", "cat"} < set(errors.columns) and "cls" not in errors.columns
+    by_pair = errors.filter("grp is not null and cat is not null").select("grp", "cat").distinct()
+    assert by_pair.count() == layout.read(spark, "baselines").filter("is_backtest").select("grp", "cat").distinct().count()
+    assert layout.read(spark, "best_baseline").count() == 1
 
 
 def test_signal_tables(spark, layout):
@@ -58,3 +62,20 @@ def test_published_tables(spark, layout):
     assert layout.read(spark, "published_forecast").count() == summary["published_rows"]
     total = layout.read(spark, "published_areas").agg(F.sum("predicted")).first()[0]
     assert total == pytest.approx(summary["predicted_total"], abs=1e-3)
+
+
+def test_signals_are_gated(spark, layout, tmp_path):
+    import shutil
+
+    told = {r["signal"]: r["status"] for r in spark.read.json(layout.table("metrics_signals")).collect()}
+    assert told["forecast"] == told["anomalies"] == "available"
+    broken = stages.Layout(str(tmp_path / "tables"))
+    shutil.copytree(layout.root, broken.root)
+    counts = spark.read.json(broken.table("metrics_anomalies")).withColumn("rows", F.col("rows") + 1)
+    counts.write.json(str(tmp_path / "damaged"))
+    spark.read.json(str(tmp_path / "damaged")).write.mode("overwrite").json(broken.table("metrics_anomalies"))
+    stages.publish_tables(spark, broken)
+    row = {r["signal"]: r for r in spark.read.json(broken.table("metrics_signals")).collect()}["anomalies"]
+    assert (row["status"], row["reason"]) == ("invalid", "row_count_off")
+    assert broken.read(spark, "published_anomalies").count() == 0
+    assert broken.read(spark, "published_forecast").count() == layout.read(spark, "published_forecast").count()

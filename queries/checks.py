@@ -137,12 +137,7 @@ def rule_table(spark, sf):
         "missing_area": F.col("area").isNull(), "missing_xy": E.missing_xy("x", "y"),
         "outside_xy": F.col("flag_outside_xy"), "missing_cat": F.col("cat").isNull(), "invalid_cls": F.col("flag_invalid_cls"),
     }
-    surplus = q.duplicate_distribution(rows, "event_id").agg(
-        F.coalesce(F.sum("surplus_rows"), F.lit(0)).alias("issue_count"))
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    extra = surplus.select(F.lit("duplicate_id_surplus").alias("rule_name"), "issue_count",
-                           E.pct(F.col("issue_count"), total, 4).alias("issue_pct"))
-    return q.rule_table(rows, rules).unionByName(extra)
+    return q.rule_table_with_surplus(rows, rules, "event_id", "duplicate_id_surplus")
 
 
 @query("allowed_value_audit", """SELECT 'grp_text' AS column_name, count(grp_text) AS checked, count(*) - count(grp_text) AS missing,

@@ -150,9 +150,14 @@ def model_metrics(spark, sf):
     return ev.error_metrics(model_long(predictions(spark, sf)))
 
 
-@query("model_metrics_grp_cat", _metrics(_MODEL, "grp, cat"))
-def model_metrics_grp_cat(spark, sf):
-    return ev.error_metrics(model_long(predictions(spark, sf)), ["grp", "cat"])
+def _register_model_metrics() -> None:
+    for name, by in (("model_metrics_grp", ["grp"]), ("model_metrics_cat", ["cat"]), ("model_metrics_grp_cat", ["grp", "cat"])):
+        def run(spark, sf, by=by):
+            return ev.error_metrics(model_long(predictions(spark, sf)), by)
+        query(name, _metrics(_MODEL, ", ".join(by)))(run)
+
+
+_register_model_metrics()
 
 
 _LEVELS = [[], ["grp"], ["cat"], ["grp", "cat"]]
@@ -209,18 +214,27 @@ def best_baseline(spark, sf):
     return ev.best_method(ev.error_metrics(fc.unpivot_methods(baselines(spark, sf), t.KEYS)))
 
 
-def _hardest(by: str, low: int) -> str:
+# The baseline that wins the backtest.
+_WON = f"(SELECT method FROM ({_metrics('blong4')}) ORDER BY mae, wmae, coverage_pct DESC, method LIMIT 1)"
+
+
+def _hardest(by: str, low: int, source: str, where: str) -> str:
     return f"""SELECT {by}, count(*) AS predictions, CAST(sum(actual) AS BIGINT) AS events, round(round(avg(abs(predicted - actual)), 10), 4) AS mae,
-  round(round(sqrt(avg((predicted - actual) ** 2)), 10), 4) AS rmse FROM blong4 WHERE method = 'trailing_8_week_mean' AND predicted IS NOT NULL AND actual IS NOT NULL
+  round(round(sqrt(avg((predicted - actual) ** 2)), 10), 4) AS rmse FROM {source} WHERE {where} AND predicted IS NOT NULL AND actual IS NOT NULL
   GROUP BY {by} HAVING sum(actual) >= {low} ORDER BY mae DESC, rmse DESC, events DESC, {by} LIMIT 15"""
 
 
 def _register_hardest() -> None:
     for name, by, low in (("hardest_segments_2", ["grp", "cat"], 50), ("hardest_segments_3", ["grp", "area", "cat"], 10)):
         def run(spark, sf, by=by, low=low):
-            long = fc.unpivot_methods(baselines(spark, sf), t.KEYS).filter("method = 'trailing_8_week_mean'")
-            return ev.hardest_segments(long, by, low)
-        query(name, _hardest(", ".join(by), low))(run)
+            long = materialize(fc.unpivot_methods(baselines(spark, sf), t.KEYS))
+            won = ev.best_method(ev.error_metrics(long)).select("method").scalar()
+            return ev.hardest_segments(long.filter(F.col("method") == won), by, low)
+
+        def run_model(spark, sf, by=by, low=low):
+            return ev.hardest_segments(model_long(predictions(spark, sf)), by, low)
+        query(name, _hardest(", ".join(by), low, "blong4", f"method = {_WON}"))(run)
+        query(f"model_{name}", _hardest(", ".join(by), low, _MODEL, "is_backtest"))(run_model)
 
 
 _register_hardest()

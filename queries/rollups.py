@@ -449,7 +449,7 @@ def duration_lag_summary(spark, sf):
     days = F.datediff("end_ts", "start_ts")
     hours = E.boundary_hours(F.col("start_ts"), F.col("end_ts"))
     p = [0.5, 0.9, 0.99]
-    return tr.lag_summary(rows, days, "lag_days", p).unionByName(tr.lag_summary(rows, hours, "lag_hours", p))
+    return tr.lag_summary(rows, {"lag_days": days, "lag_hours": hours}, p)
 
 
 @query("lag_buckets", """SELECT lag_bucket, count(*) AS rows, round(count(*) * 100.0 / (SELECT count(*) FROM ship), 4) AS pct FROM (

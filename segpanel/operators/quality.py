@@ -39,6 +39,18 @@ def rule_table(df: DataFrame, rules: Mapping[str, Column], label: str = "rule_na
                          pct(F.col("issue_count"), F.col("__rows"), 4).alias("issue_pct"))
 
 
+def rule_table_with_surplus(df: DataFrame, rules: Mapping[str, Column], key: str, surplus: str,
+                            label: str = "rule_name") -> DataFrame:
+    """``rule_table`` and the rows beyond the first of every key, in one pass: counts per key, then their sums."""
+    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(c).alias(n) for n, c in rules.items()])
+    extra = F.when(F.col(key).isNotNull(), F.col("__n") - 1).otherwise(0)
+    wide = per_key.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__rows"), F.coalesce(F.sum(extra), F.lit(0)).alias(surplus),
+                       *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in rules])
+    longer = wide.select("__rows", F.inline(F.array(*[
+        F.struct(F.lit(n).alias(label), F.col(n).alias("issue_count")) for n in [*rules, surplus]])))
+    return longer.select(label, "issue_count", pct(F.col("issue_count"), F.col("__rows"), 4).alias("issue_pct"))
+
+
 def flag_counts(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     return rule_table(df, {f: F.col(f) for f in flags}, "quality_flag")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -136,9 +136,13 @@ def area_map_summary(points: DataFrame, area: str = "area", grp: str = "grp", ca
     rows = points.filter(F.col(area).isNotNull() & F.col(grp).isNotNull()).select(
         E.fill_unknown(area).alias(area), grp, E.fill_unknown(cat).alias(cat), "x", "y"
     )
-    base = centroid(rows, [area]).withColumnRenamed("points", "total")
-    groups = dominant_value(rows, [area], grp, name=grp)
-    cats = dominant_value(rows, [area], cat, name="top_cat", count_name="top_cat_count")
+    # One pre-aggregation over the points serves the centroid, the count and both labels.
+    fine = rows.groupBy(area, grp, cat).agg(F.count(F.lit(1)).alias("k"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    base = fine.groupBy(area).agg(
+        dround(F.sum("sx") / F.sum("k"), 6).alias("centroid_x"), dround(F.sum("sy") / F.sum("k"), 6).alias("centroid_y"),
+        F.sum("k").alias("total"))
+    groups = dominant_value(fine, [area], grp, F.sum("k"), grp)
+    cats = dominant_value(fine, [area], cat, F.sum("k"), "top_cat", "top_cat_count")
     joined = base.join(groups, area, "left").join(cats, area, "left")
     shares = share_of_total(joined, "total", "pct_valid")
     return with_row_id(shares, [F.col("total").desc(), grp, area], "rank")
@@ -239,22 +243,23 @@ def lag_distribution(df: DataFrame, days: Column) -> DataFrame:
     return share_of_total(counts, "rows", "pct", 4)
 
 
-def lag_summary(df: DataFrame, value: Column, name: str, probabilities: Sequence[float],
+def lag_summary(df: DataFrame, lags: Mapping[str, Column], probabilities: Sequence[float],
                 long_after: int = 30) -> DataFrame:
-    """Count, mean, exact quantiles and out-of-range counts of a whole-number lag.
+    """Count, mean, exact quantiles and out-of-range counts of named whole-number lags, in one pass.
 
     Equal lags are counted first; quantiles then work on one row per distinct lag, of which
     there are no more than calendar days or hours.
     """
-    counted = df.select(value.cast("bigint").alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(
+    pairs = F.inline(F.array(*[F.struct(F.lit(n).alias("measure"), v.cast("bigint").alias("v")) for n, v in lags.items()]))
+    counted = df.select(pairs).filter(F.col("v").isNotNull()).groupBy("measure", "v").agg(
         F.count(F.lit(1)).alias("k")
     )
     quantiles = [
         dround(F.percentile("v", F.lit(float(p)), F.col("k")), 4).alias(f"p{int(round(p * 100))}")
         for p in probabilities
     ]
-    return counted.agg(
-        F.lit(name).alias("measure"), F.sum("k").alias("rows"),
+    return counted.groupBy("measure").agg(
+        F.sum("k").alias("rows"),
         dround(F.sum(F.col("v") * F.col("k")).cast("double") / F.sum("k"), 4).alias("mean"),
         *quantiles,
         sum_or_zero(F.col("v") < 0, "k").alias("negative"),

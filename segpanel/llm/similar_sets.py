@@ -11,10 +11,11 @@ may leave out the ``need - 1`` most common of those, as the rarest that a pair s
 
 Sets are identified by a hash of the whole set, so copies are one node however many there are.
 Signatures travel packed, four bytes each (their bucket is the rest of them; a false match costs a
-check and no more). What is similar is decided on the texts' whole sets. Groups are found in two
-rounds: first each set is checked against the least set of some of its signature groups; then all
-pairs of sets that share a signature and are not connected yet. So a large group of near copies costs
-its size and not its square, and no link that connects anything is lost.
+check and no more). What is similar is decided on the texts' whole sets. Groups are found in three
+rounds: each set is checked against the most common set of some of its signature groups, then of all
+groups that are not connected yet, and at last against every set that shares a signature with it, may be
+similar and is not connected with it yet. So a large group of near copies costs its size and not its
+square, and no link that connects anything is lost.
 """
 
 from __future__ import annotations
@@ -131,7 +132,8 @@ def signature_rows(docs: DataFrame, width: int, scheme: Scheme, buckets: int) ->
                 shingles, counts = shingle_sets(texts[a:b], width)
                 nodes = set_nodes(shingles, counts).view(np.int64)
                 full = counts > 0
-                yield _rows(kind=np.zeros(b - a, np.int32), bucket=(nodes.view(_U) % _U(buckets)).astype(np.int32),
+                # Any bucket will do for a document; copies must not meet in one.
+                yield _rows(kind=np.zeros(b - a, np.int32), bucket=((np.arange(b - a) + (ids[a] or 0)) % buckets).astype(np.int32),
                             doc_id=ids[a:b], text_key=keys[a:b], n_shingles=counts, node=pa.array(nodes, mask=~full))
                 if len(sent) > 1_000_000:
                     sent.clear()  # only saves sending copies again
@@ -248,6 +250,34 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFram
     return found.groupBy("k.node").agg(F.first("d.text").alias("text"))
 
 
+_GROUP = ["signature", "band"]
+
+
+def _star_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs of each set with the set of its signature group whose signatures are the most common.
+
+    The original of many near copies has such signatures; it is similar to more of them than they are to each other.
+    Sets with a label are paired with one of another label only.
+    """
+    top = shared.groupBy(*_GROUP).agg(F.max(F.struct("weight", "node", *[c for c in ("label",) if c in shared.columns])).alias("top"))
+    pairs = shared.join(top, _GROUP).filter(F.col("node") != F.col("top.node"))
+    if "label" in shared.columns:
+        pairs = pairs.filter(F.col("label") != F.col("top.label"))
+    return pairs.select(F.col("node").alias("a"), F.col("top.node").alias("b")).distinct()
+
+
+def _unconnected(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``shared`` with their ``label``, of signature groups with several labels and of sets that may have a link to another label.
+
+    Such a link needs ``need`` signatures that sets of different labels share.
+    """
+    labelled = staged(shared.join(found, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "labelled")
+    open_groups = labelled.groupBy(*_GROUP).agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select(*_GROUP)
+    rest = labelled.join(open_groups, _GROUP, "left_semi")
+    of_set = Window.partitionBy("node", "band")
+    return staged(rest.withColumn("n", F.count("*").over(of_set)).filter("n >= need").drop("n"), "unconnected")
+
+
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_key, n_shingles, node, root for every row of ``docs``.
 
@@ -262,27 +292,24 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     members = rows.filter("kind = 0").select("doc_id", "text_key", "n_shingles", "node")
     of_set = Window.partitionBy("node", "band")  # at most as many rows as the band has parts
     shared = rows.filter("kind = 1").select("signature", "node", "band", "need", "size")
-    shared = shared.withColumn("n", F.count("*").over(of_set)).filter("n >= need").withColumn(
-        "common", F.row_number().over(of_set.orderBy(F.desc("size"), "signature"))).filter("common >= need")
-    shared = staged(shared.select("signature", "band", "node"), "shared-signatures")
-    group = ["signature", "band"]
-    some = shared.filter(F.pmod("signature", F.lit(8)) == 0)  # any part of the groups would do
-    least = some.groupBy(*group).agg(F.min("node").alias("b"))
-    stars = staged(some.join(least, group).filter("node != b").select(F.col("node").alias("a"), "b").distinct(), "star-pairs")
-    nodes = shared.select("node").distinct()
-    texts = staged(_texts_of(docs, nodes, members), "pair-texts")
-    first = staged(_verified(stars, texts, width, scheme), "star-links")
-    found = staged(components(first), "star-components")
-    label = F.coalesce("root", "node").alias("label")
-    labelled = staged(shared.join(found, "node", "left").select(*group, "node", label), "labelled")
-    open_groups = labelled.groupBy(*group).agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select(*group)
-    rest = staged(labelled.join(open_groups, group, "left_semi"), "open-groups")
-    right = rest.select(*group, F.col("node").alias("b"), F.col("label").alias("label_b"))
-    cross = rest.select(*group, F.col("node").alias("a"), "label").join(right, group).filter("label < label_b")
-    pairs = cross.select(F.col("a"), F.col("b"), "label", "label_b").distinct()
-    pairs = staged(pairs, "cross-pairs")
-    second = staged(_verified(pairs.select("a", "b"), texts, width, scheme), "cross-links")
-    roots = components(first.union(second)) if second.limit(1).count() else found
+    shared = shared.withColumn("n", F.count("*").over(of_set)).withColumn("weight", F.avg("size").over(of_set)).filter("n >= need").drop("n")
+    shared = staged(shared, "shared-signatures")
+    texts = staged(_texts_of(docs, shared.select("node").distinct(), members), "pair-texts")
+    # Round 1: some of the signatures, whichever; round 2: all groups with sets that are not connected yet.
+    links = staged(_verified(staged(_star_pairs(shared.filter(F.pmod("signature", F.lit(8)) == 0)), "star-pairs"), texts, width, scheme), "star-links")
+    rest = _unconnected(shared, components(links))
+    more = staged(_verified(staged(_star_pairs(rest), "star-pairs"), texts, width, scheme), "star-links")
+    links = links.union(more)
+    # Round 3: every pair of sets that share a signature and may be similar and are not connected yet.
+    rest = _unconnected(rest.drop("label"), components(links))
+    kept = rest.withColumn("common", F.row_number().over(of_set.orderBy(F.desc("size"), "signature"))).filter("common >= need")
+    lengths = members.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("length"))
+    kept = staged(kept.join(lengths, "node").select("signature", "band", "node", "label", "length"), "open-groups")
+    right = kept.select("signature", "band", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("length").alias("length_b"))
+    apart = (F.col("label") < F.col("label_b")) & (100 * F.least("length", "length_b") >= percent * F.greatest("length", "length_b"))
+    cross = kept.join(right, ["signature", "band"]).filter(apart).select(F.col("node").alias("a"), "b").distinct()
+    last = staged(_verified(staged(cross, "cross-pairs"), texts, width, scheme), "cross-links")
+    roots = staged(components(links.union(last)), "roots")
     roots = roots.withColumnRenamed("node", "_n")
     return members.join(roots, F.col("node") == F.col("_n"), "left").select(
         "doc_id", "text_key", "n_shingles", "node", F.coalesce("root", "node").alias("root"))

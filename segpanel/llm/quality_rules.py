@@ -131,7 +131,7 @@ def certified_cutoffs(scored: DataFrame, labels: DataFrame, rules: tuple[Rule, .
     base rules reject take no part. Equal texts of a stratum count once, so that copies don't pose as
     independent evidence; a text with several labels counts as good if one of them says so. Of the
     certified cutoffs, the loosest is taken that still rejects 99 of 100 of the bad documents that the
-    tightest one rejects; a rule that rejects no bad document is left out.
+    tightest one rejects. Cutoffs that reject as many good labelled documents as bad ones are left out.
     """
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
     held = scored.filter(~base_failed()).join(marks, "doc_id").groupBy("stratum", "text_hash").agg(
@@ -157,6 +157,7 @@ def certified_cutoffs(scored: DataFrame, labels: DataFrame, rules: tuple[Rule, .
         F.sum(F.when(F.col("at") <= F.col("p"), F.col("bad")).otherwise(0)).alias("right"))
     by_step = Window.partitionBy("stratum", "rule").orderBy("p")
     passed = tried.join(sizes, ["stratum", "rule"]).withColumn("ok", F.min((F.col("wrong") <= F.col("most")).cast("int")).over(by_step)).filter("ok = 1")
+    passed = passed.filter("right > wrong")  # a cutoff that rejects more good documents than bad ones is of no use
     best = F.max("right").over(Window.partitionBy("stratum", "rule"))
     return passed.withColumn("best", best).filter("best > 0 and right >= 0.99 * best").groupBy("stratum", "rule").agg(
         F.max("cutoff").alias("cutoff"))

@@ -8,6 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segpanel.llm import oracles
 from segpanel.llm.licenses import license_labels
 from segpanel.llm.line_dedup import dedup_lines
 from segpanel.llm.mixing import mix_sources
@@ -80,4 +81,8 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": oracles.JACCARD,
+    "op6_license_scan": oracles.licences(),
+    "op7_source_mixing": oracles.MIXING,
+}

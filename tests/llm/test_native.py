@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from segpanel.llm.licenses import PHRASES, TEMPLATES, license_labels, word_set
 from segpanel.llm.mixing import mix_sources, source_rates
-from segpanel.llm.quality_rules import FEATURES, certified_cutoffs, critical_count, keep_good, quality_verdicts, with_features
+from segpanel.llm.quality_rules import FEATURES, critical_count, keep_good, quality_verdicts, with_features
 from segpanel.llm.sharding import Leaf, grown, shard_digests, shard_documents, uniform_tree
 from tests.llm.cases import documents, nobody, rows
 

@@ -5,7 +5,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
-import pytest
 from pyspark.sql import functions as F
 
 from segpanel.llm.components import components

@@ -16,7 +16,6 @@ from segpanel.roles import AnomalyConfig
 from segpanel.session import materialize
 
 SEVERITIES = ("low", "medium", "high", "critical")
-_LOW = -1e9
 
 
 def anomaly_features(panel: DataFrame, keys: Sequence[str], config: AnomalyConfig = AnomalyConfig(),
@@ -44,8 +43,9 @@ def safe_predictions(predictions: DataFrame, keys: Sequence[str], week: str = "w
     ).select(week, *keys, F.col("predicted").alias("expected_model"))
 
 
-def _or_low(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit(_LOW))
+def _at_least(c: str, limit: float) -> Column:
+    """False where there is no value."""
+    return F.coalesce(F.col(c) >= limit, F.lit(False))
 
 
 def anomaly_scores(features: DataFrame, predictions: DataFrame | None, keys: Sequence[str],
@@ -87,16 +87,16 @@ def anomaly_scores(features: DataFrame, predictions: DataFrame | None, keys: Seq
 
     volume = F.col("is_evaluable") & (F.col("total_base") >= config.min_prior_total) & (actual >= config.min_actual)
     history_hit = (
-        (_or_low("z") >= config.z[0]) | (_or_low("robust_z") >= config.robust_z[0])
-        | (_or_low("pct_vs_short") >= config.min_pct_change)
+        _at_least("z", config.z[0]) | _at_least("robust_z", config.robust_z[0])
+        | _at_least("pct_vs_short", config.min_pct_change)
     )
-    model_hit = (_or_low("model_scaled") >= config.model_scaled[0]) | F.coalesce(
+    model_hit = _at_least("model_scaled", config.model_scaled[0]) | F.coalesce(
         (F.col("expected_model") > 0) & (actual >= F.col("expected_model") * config.model_multiple), F.lit(False)
     )
     flagged = measured.withColumn("passes_volume", volume).withColumns({
-        "is_history_anomaly": F.col("passes_volume") & (_or_low("residual_history") >= config.min_increase) & history_hit,
+        "is_history_anomaly": F.col("passes_volume") & _at_least("residual_history", config.min_increase) & history_hit,
         "is_model_anomaly": F.col("has_model") & F.col("passes_volume")
-        & (_or_low("residual_model") >= config.min_increase) & model_hit,
+        & _at_least("residual_model", config.min_increase) & model_hit,
     }).withColumn("is_anomaly", F.col("is_history_anomaly") | F.col("is_model_anomaly"))
 
     zero = F.lit(0.0)
@@ -115,20 +115,21 @@ def anomaly_scores(features: DataFrame, predictions: DataFrame | None, keys: Seq
     )
     scored = flagged.withColumn("score", F.when(F.col("is_anomaly"), dround(score, 4)).otherwise(0.0))
 
-    reach = F.greatest(_or_low("residual_history"), _or_low("residual_model"))
+    def reaches(limit: float) -> Column:
+        return _at_least("residual_history", limit) | _at_least("residual_model", limit)
 
     def strong(i: int, pct_step: float | None) -> Column:
         hit = (
-            (_or_low("z") >= config.z[i]) | (_or_low("robust_z") >= config.robust_z[i])
-            | (_or_low("model_scaled") >= config.model_scaled[i]) | (F.col("score") >= config.score_steps[i - 1])
+            _at_least("z", config.z[i]) | _at_least("robust_z", config.robust_z[i])
+            | _at_least("model_scaled", config.model_scaled[i]) | (F.col("score") >= config.score_steps[i - 1])
         )
-        return hit if pct_step is None else hit | (_or_low("pct_vs_short") >= pct_step)
+        return hit if pct_step is None else hit | _at_least("pct_vs_short", pct_step)
 
     severity = (
         F.when(~F.col("is_anomaly"), "none")
-        .when((actual >= config.critical_min_actual) & (reach >= config.critical_min_residual) & strong(3, None), "critical")
-        .when((reach >= config.high_min_residual) & strong(2, config.pct_steps[1]), "high")
-        .when((reach >= config.min_increase + 1) & strong(1, config.pct_steps[0]), "medium")
+        .when((actual >= config.critical_min_actual) & reaches(config.critical_min_residual) & strong(3, None), "critical")
+        .when(reaches(config.high_min_residual) & strong(2, config.pct_steps[1]), "high")
+        .when(reaches(config.min_increase + 1) & strong(1, config.pct_steps[0]), "medium")
         .otherwise("low")
     )
     rounded = ("expected", "expected_history", "expected_model", "residual", "residual_history", "residual_model",

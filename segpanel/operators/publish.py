@@ -171,10 +171,6 @@ def published_hotspots(ranked: DataFrame, severities: Sequence[str] = ("high", "
     )
 
 
-def filter_signals(rows: DataFrame, labels: Mapping[str, str | None]) -> DataFrame:
-    return select_cells(rows, labels)
-
-
 def signal_totals(hotspots: DataFrame, anomalies: DataFrame, forecast: DataFrame,
                   labels: Mapping[str, str | None], start, end) -> DataFrame:
     """Hotspots, anomalies and forecast volume of a selection, one row per signal."""

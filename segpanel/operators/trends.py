@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -265,7 +264,3 @@ def lag_summary(df: DataFrame, lags: Mapping[str, Column], probabilities: Sequen
         sum_or_zero(F.col("v") < 0, "k").alias("negative"),
         sum_or_zero(F.col("v") > long_after, "k").alias("over_limit"),
     )
-
-
-def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -278,6 +278,25 @@ def _unconnected(shared: DataFrame, found: DataFrame) -> DataFrame:
     return staged(rest.withColumn("n", F.count("*").over(of_set)).filter("n >= need").drop("n"), "unconnected")
 
 
+def _shared_elements(sets: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """node, length, held: how many elements each of ``sets`` (node, label) has, and how many of them a set of another label has too.
+
+    Near copies of one original that are not similar to it share the original's elements and no others; this
+    count shows that they are too few.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [t.encode() for t in batch.column("text").to_pylist()]
+            for a, b in by_size(data):
+                shingles, counts = shingle_sets(data[a:b], width)
+                owner = pa.array(np.repeat(np.arange(a, b), counts))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").take(owner), batch.column("label").take(owner), pa.array(shingles.view(np.int64))], ["node", "label", "element"])
+    elements = staged(sets.join(texts, "node").mapInArrow(run, "node long, label long, element long"), "open-elements")
+    met = elements.groupBy("element").agg(F.min("label").alias("x"), F.max("label").alias("y")).select("element", (F.col("x") < F.col("y")).alias("met"))
+    return elements.join(met, "element").groupBy("node").agg(F.count("*").alias("length"), F.count_if("met").alias("held"))
+
+
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_key, n_shingles, node, root for every row of ``docs``.
 
@@ -303,11 +322,14 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     # Round 3: every pair of sets that share a signature and may be similar and are not connected yet.
     rest = _unconnected(rest.drop("label"), components(links))
     kept = rest.withColumn("common", F.row_number().over(of_set.orderBy(F.desc("size"), "signature"))).filter("common >= need")
-    lengths = members.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("length"))
-    kept = staged(kept.join(lengths, "node").select("signature", "band", "node", "label", "length"), "open-groups")
-    right = kept.select("signature", "band", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("length").alias("length_b"))
-    apart = (F.col("label") < F.col("label_b")) & (100 * F.least("length", "length_b") >= percent * F.greatest("length", "length_b"))
-    cross = kept.join(right, ["signature", "band"]).filter(apart).select(F.col("node").alias("a"), "b").distinct()
+    held = _shared_elements(staged(rest.select("node", "label").distinct(), "open-sets"), texts, width)
+    kept = staged(kept.join(held, "node").filter(100 * F.col("held") >= percent * F.col("length")).select(
+        "signature", "band", "node", "label", "length", "held"), "open-groups")
+    right = kept.select("signature", "band", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("length").alias("length_b"), F.col("held").alias("held_b"))
+    # The smaller set is large enough, and both hold enough elements that others hold too.
+    apart = ((F.col("label") < F.col("label_b")) & (100 * F.least("length", "length_b") >= percent * F.greatest("length", "length_b"))
+             & ((100 + percent) * F.least("held", "held_b") >= percent * (F.col("length") + F.col("length_b"))))
+    cross = kept.join(right, _GROUP).filter(apart).select(F.col("node").alias("a"), "b").distinct()
     last = staged(_verified(staged(cross, "cross-pairs"), texts, width, scheme), "cross-links")
     roots = staged(components(links.union(last)), "roots")
     roots = roots.withColumnRenamed("node", "_n")

@@ -1,12 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
 Each rule scores a document (higher is worse) and rejects it above a cutoff. Cutoffs come from labelled
-holdouts, stratum by stratum: a cutoff is certified if the exact binomial probability of so few
-rejections among the stratum's good documents, were the true false-rejection rate at the limit, is
-at most the error level. Cutoffs are tested from the loosest to the tightest and testing stops at the
-first failure (a fixed sequence needs no correction along it); the error level is divided by the
-number of strata and rules. So with probability ``1 - error`` no stratum loses more than ``risk`` of its
-good documents to the rules together. Where labels are too few to prove anything, a rule rejects nothing.
+holdouts, stratum by stratum. All rules together go through one fixed sequence of settings, from loose to
+tight: at step p each rule stands at its p-th cutoff, or at its tightest if it has fewer. A step is certified
+if the exact binomial probability of so few documents rejected by any rule among the stratum's good ones, were
+the true false-rejection rate at the limit, is at most the error level divided by the number of strata.
+Testing stops at the first failure, so a fixed sequence needs no correction along it. Looser cutoffs than
+those of a certified step reject fewer documents, so each rule may then take its own. So with
+probability ``1 - error`` no stratum loses more than ``risk`` of its good documents to the rules together.
+Where labels are too few to prove anything (four strata: 86 good documents), the rules reject nothing.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Stands for all rules together.
+ALL = ""
 #: Strata are broadcast if they are at most so many; otherwise their table is joined by a shuffle.
 BROADCAST_STRATA = 2_000
 
@@ -129,38 +133,41 @@ def certified_cutoffs(scored: DataFrame, labels: DataFrame, rules: tuple[Rule, .
 
     ``scored`` has doc_id, stratum, text_hash and ``FEATURES`` and is a written table. Documents that the
     base rules reject take no part. Equal texts of a stratum count once, so that copies don't pose as
-    independent evidence; a text with several labels counts as good if one of them says so. Of the
-    certified cutoffs, the loosest is taken that still rejects 99 of 100 of the bad documents that the
-    tightest one rejects. Cutoffs that reject as many good labelled documents as bad ones are left out.
+    independent evidence; a text with several labels counts as good if one of them says so. Of the cutoffs up to
+    the last certified step, each rule takes the loosest that still rejects 99 of 100 of the bad documents that
+    its tightest one rejects. Cutoffs that reject as many good labelled documents as bad ones are left out.
     """
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
     held = scored.filter(~base_failed()).join(marks, "doc_id").groupBy("stratum", "text_hash").agg(
         F.max("good").alias("good"), *[F.max(f).alias(f) for f in FEATURES])
-    # Number of cutoffs, from the loosest on, that let the document pass.
-    bins = F.array(*[F.struct(
-        F.lit(r.name).alias("rule"),
-        F.array(*[F.lit(c) for c in r.cutoffs]).alias("cutoffs"),
-        sum(((_score(r) <= c).cast("int") for c in r.cutoffs), F.lit(0)).alias("passing"),
-    ) for r in rules])
-    counts = held.select("stratum", "good", F.inline(bins)).groupBy("stratum", "rule", "cutoffs", "passing").agg(
+    # Number of steps, from the loosest on, that let the document pass: by each rule, and by all (ALL).
+    steps = max(len(r.cutoffs) for r in rules)
+    paths = {r.name: [*r.cutoffs, *[r.cutoffs[-1]] * (steps - len(r.cutoffs))] for r in rules}
+    held = held.select("stratum", "good", *[sum(((_score(r) <= c).cast("int") for c in paths[r.name]), F.lit(0)).alias(f"_{r.name}") for r in rules])
+    bins = F.array(
+        F.struct(F.lit(ALL).alias("rule"), F.array_min(F.array(*[F.col(f"_{r.name}") for r in rules])).alias("passing")),
+        *[F.struct(F.lit(r.name).alias("rule"), F.col(f"_{r.name}").alias("passing")) for r in rules])
+    counts = held.select("stratum", "good", F.inline(bins)).groupBy("stratum", "rule", "passing").agg(
         F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("good") == 1, 0).otherwise(1)).alias("bad"))
     counts = staged(counts, "rule-counts")
-    # From here on there is a row for each stratum, rule and cutoff.
+    # From here on there is a row for each stratum, rule and step.
     strata = counts.agg(F.countDistinct("stratum")).scalar()
-    sizes = counts.groupBy("stratum", "rule").agg(F.sum("good").alias("n")).withColumn("strata", strata).withColumn(
-        "most", critical_count(F.col("n"), F.lit(risk / len(rules)), F.lit(error) / (F.col("strata") * len(rules))))
-    steps = counts.select("stratum", "rule", F.col("passing").alias("at"), "good", "bad", "cutoffs")
-    # The cutoff at place p (from 0, the loosest first) rejects the documents that pass at most p cutoffs.
-    grid = counts.select("stratum", "rule", "cutoffs").distinct().select("stratum", "rule", F.posexplode("cutoffs").alias("p", "cutoff"))
-    tried = grid.join(steps, ["stratum", "rule"]).groupBy("stratum", "rule", "p", "cutoff").agg(
-        F.sum(F.when(F.col("at") <= F.col("p"), F.col("good")).otherwise(0)).alias("wrong"),
-        F.sum(F.when(F.col("at") <= F.col("p"), F.col("bad")).otherwise(0)).alias("right"))
-    by_step = Window.partitionBy("stratum", "rule").orderBy("p")
-    passed = tried.join(sizes, ["stratum", "rule"]).withColumn("ok", F.min((F.col("wrong") <= F.col("most")).cast("int")).over(by_step)).filter("ok = 1")
+    # The step at place p (from 0, the loosest first) rejects the documents that pass at most p steps.
+    grid = counts.select("stratum", "rule").distinct().withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    tried = grid.join(counts, ["stratum", "rule"]).groupBy("stratum", "rule", "p").agg(
+        F.sum("good").alias("n"),
+        F.sum(F.when(F.col("passing") <= F.col("p"), F.col("good")).otherwise(0)).alias("wrong"),
+        F.sum(F.when(F.col("passing") <= F.col("p"), F.col("bad")).otherwise(0)).alias("right"))
+    by_step = Window.partitionBy("stratum").orderBy("p")
+    certified = tried.filter(F.col("rule") == ALL).withColumn("strata", strata).withColumn(
+        "most", critical_count(F.col("n"), F.lit(risk), F.lit(error) / F.col("strata"))).withColumn(
+        "ok", F.min((F.col("wrong") <= F.col("most")).cast("int")).over(by_step)).filter("ok = 1").select("stratum", "p")
+    cutoffs = F.element_at(F.create_map(*[x for r in rules for x in (F.lit(r.name), F.array(*map(F.lit, paths[r.name])))]), F.col("rule"))
+    passed = tried.filter(F.col("rule") != ALL).join(certified, ["stratum", "p"])
     passed = passed.filter("right > wrong")  # a cutoff that rejects more good documents than bad ones is of no use
     best = F.max("right").over(Window.partitionBy("stratum", "rule"))
-    return passed.withColumn("best", best).filter("best > 0 and right >= 0.99 * best").groupBy("stratum", "rule").agg(
-        F.max("cutoff").alias("cutoff"))
+    return passed.withColumn("cutoff", F.element_at(cutoffs, F.col("p") + 1)).withColumn("best", best).filter(
+        "right >= 0.99 * best").groupBy("stratum", "rule").agg(F.max("cutoff").alias("cutoff"))
 
 
 def verdict(rows: DataFrame, cutoffs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

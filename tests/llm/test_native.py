@@ -12,7 +12,7 @@ from segpanel.llm.licenses import PHRASES, TEMPLATES, license_labels, word_set
 from segpanel.llm.mixing import mix_sources, source_rates
 from segpanel.llm.quality_rules import FEATURES, critical_count, keep_good, quality_verdicts, with_features
 from segpanel.llm.sharding import Leaf, grown, shard_digests, shard_documents, uniform_tree
-from tests.llm.cases import documents, nobody, rows
+from tests.llm.cases import SCHEMA, documents, nobody, rows
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 LICENCE_WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -103,6 +103,37 @@ def test_rules_reject_junk_and_limit_false_rejection(spark):
     assert kept.columns == [*docs.columns, "kept_too"] and {r.doc_id for r in kept.collect()} == {i for i, k in got.items() if k}
 
 
+def four_languages(n=480):
+    """``labelled`` texts dealt over four languages: 108 good and 12 junk documents in each."""
+    words = [[f"word{i}a{j}" + ("***" if i // 4 % 10 == 0 else "") for j in range(30)] for i in range(n)]
+    docs = [(i, " ".join(w), ["en", "de", "fr", "es"][i % 4], "s", 1) for i, w in enumerate(words)]
+    return docs, [(i, int(i // 4 % 10 != 0), 0) for i in range(n)]
+
+
+def test_every_language_of_100_good_documents_is_certified(spark):
+    docs, labels = four_languages()
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality_verdicts(spark.createDataFrame(docs, SCHEMA), labels).collect()}
+    assert {i for i, kept in got.items() if not kept} == {i for i in range(480) if i // 4 % 10 == 0}
+
+
+def test_all_rules_together_keep_to_the_limit(spark):
+    """Two rules that would each lose 4 % of 1,000 good documents: both together would lose 8 %."""
+    def text(i):
+        words = [f"word{i}a{j}" for j in range(30)]
+        if i >= 1000:
+            words = [w.upper() + "***" for w in words]
+        elif i % 25 == 0:
+            words = [w + "***" for w in words]
+        elif i % 25 == 1:
+            words = [w.upper() for w in words]
+        return " ".join(words)
+    docs = spark.createDataFrame([(i, text(i), "en", "s", 1) for i in range(1300)], SCHEMA)
+    labels = spark.createDataFrame([(i, int(i < 1000), 0) for i in range(1300)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality_verdicts(docs, labels).collect()}
+    assert sum(not got[i] for i in range(1000)) <= 50
+
+
 def test_rules_without_enough_labels_reject_by_base_rules_only(spark):
     _, labels = labelled(spark, 20)
     for r in quality_verdicts(documents(spark), labels).collect():

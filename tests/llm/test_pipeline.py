@@ -10,7 +10,7 @@ from public_tokenizers import path as tokenizer_path
 import corpus_pipeline
 from tests.llm.cases import SCHEMA, rows
 from tests.llm.test_line_dedup import brute as brute_lines, edits
-from tests.llm.test_native import brute_copies, brute_features
+from tests.llm.test_native import brute_copies, brute_features, four_languages
 from tests.llm.test_similar_sets import brute_components, near_copies
 from tests.llm.test_tokens import WORD, ids
 
@@ -63,6 +63,15 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         assert [o for o, _ in held] == [0, *np.cumsum([n for _, n in held])[:-1]] and sum(n for _, n in held) <= 2048
 
 
+def test_pipeline_rejects_junk_with_enough_labels(spark, tmp_path):
+    docs, labels = four_languages()
+    spark.createDataFrame(docs, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    good = [d for d in docs if d[0] // 4 % 10]
+    assert out == {doc for doc, *_ in brute_pipeline(good)}
+
+
 def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

@@ -25,11 +25,25 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Insulting words, counted as whole words in any case. Other insults are not seen.
+INSULTS = (
+    "idiot", "idiots", "idiotic", "moron", "morons", "moronic", "imbecile", "imbeciles", "stupid", "dumbass", "trash", "scum", "scumbag",
+    "loser", "losers", "pathetic", "disgusting", "worthless", "clown", "clowns", "asshole", "assholes", "bastard", "bastards", "bitch",
+    "bitches", "retard", "retarded",  # en
+    "idioten", "trottel", "dummkopf", "dumm", "schwachkopf", "abschaum", "versager", "erbärmlich", "ekelhaft", "wertlos", "arschloch",
+    "arschlöcher", "vollidiot", "drecksack", "depp", "schlampe",  # de
+    "idiote", "idiotes", "imbécile", "imbéciles", "stupide", "stupides", "crétin", "crétins", "abruti", "abrutis", "connard", "connards",
+    "connasse", "salaud", "salope", "ordure", "ordures", "pathétique", "dégoûtant", "minable", "minables",  # fr
+    "idiota", "idiotas", "imbécil", "imbéciles", "estúpido", "estúpida", "estúpidos", "estúpidas", "tonto", "tonta", "basura", "escoria",
+    "perdedor", "patético", "patética", "asqueroso", "asquerosa", "inútil", "payaso", "cabrón", "gilipollas", "pendejo",  # es
+)
 #: Stands for all rules together.
 ALL = ""
 #: Strata are broadcast if they are at most so many; otherwise their table is joined by a shuffle.
 BROADCAST_STRATA = 2_000
 
+INSULT = r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(set(INSULTS))) + r")(?![\p{L}\p{N}])"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -48,8 +62,9 @@ RULES = (
     Rule("lines_again", "n_dup_lines / n_lines", _SHARES),
     Rule("words_again", "n_repeat_words / n_words", _SHARES),
     Rule("long_words", "word_chars / n_words", (60.0, 40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0, 9.0)),
+    Rule("insults", "n_insults / n_words", (0.1, 0.05, 0.03, 0.02, 0.015, 0.01, 0.0075, 0.005, 0.003, 0.002, 0.001, 0.0005, 0.0)),
 )
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim", "n_insults")
 
 
 def _pairs(a: Column, step: int) -> Column:
@@ -78,6 +93,7 @@ def with_features(docs: DataFrame) -> DataFrame:
         "n_symbols": _characters(text, SYMBOLS).cast("long"),
         "n_upper": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long"),
         "n_exclaim": _characters(text, "!").cast("long"),
+        "n_insults": F.regexp_count(F.lower(text), F.lit(INSULT)).cast("long"),
     })
     out = out.withColumn("n_lines", F.size("_lines").cast("long")).withColumn(
         "n_dup_lines", F.col("n_lines") - F.size(F.array_distinct("_lines")))
@@ -133,13 +149,15 @@ def certified_cutoffs(scored: DataFrame, labels: DataFrame, rules: tuple[Rule, .
 
     ``scored`` has doc_id, stratum, text_hash and ``FEATURES`` and is a written table. Documents that the
     base rules reject take no part. Equal texts of a stratum count once, so that copies don't pose as
-    independent evidence; a text with several labels counts as good if one of them says so. Of the cutoffs up to
-    the last certified step, each rule takes the loosest that still rejects 99 of 100 of the bad documents that
+    independent evidence. A text is good if a label gives it quality 1 and none says that it is toxic; other
+    texts with a quality or a toxic label count as bad. Of the cutoffs up to the last certified step, each rule takes the loosest that still rejects 99 of 100 of the bad documents that
     its tightest one rejects. Cutoffs that reject as many good labelled documents as bad ones are left out.
     """
-    marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
+    marks = labels.filter("doc_id is not null and (quality is not null or toxic = 1)").groupBy("doc_id").agg(
+        F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     held = scored.filter(~base_failed()).join(marks, "doc_id").groupBy("stratum", "text_hash").agg(
-        F.max("good").alias("good"), *[F.max(f).alias(f) for f in FEATURES])
+        F.max("quality").alias("quality"), F.max("toxic").alias("toxic"), *[F.max(f).alias(f) for f in FEATURES])
+    held = held.withColumn("good", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)).cast("int"))
     # Number of steps, from the loosest on, that let the document pass: by each rule, and by all (ALL).
     steps = max(len(r.cutoffs) for r in rules)
     paths = {r.name: [*r.cutoffs, *[r.cutoffs[-1]] * (steps - len(r.cutoffs))] for r in rules}

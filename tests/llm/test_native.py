@@ -134,6 +134,21 @@ def test_all_rules_together_keep_to_the_limit(spark):
     assert sum(not got[i] for i in range(1000)) <= 50
 
 
+def test_toxic_documents_are_bad_and_insults_reject_them(spark):
+    """Quality 1 and toxic: no evidence for good documents; the word that insults stands once in 300 words."""
+    def text(i):
+        words = [f"word{i}a{j}" for j in range(300)]
+        if i % 5 == 0:
+            words[i % 300] = ["Idiot!", "(worthless)", "Crétin,", "gilipollas"][i % 4]
+        elif i % 5 == 1:
+            words[0] = "idiotwise"
+        return " ".join(words)
+    docs = spark.createDataFrame([(i, text(i), "en", "s", 1) for i in range(500)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(500)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_verdicts(docs, labels).collect()}
+    assert all(r.n_insults == int(i % 5 == 0) and r.kept == (i % 5 != 0) for i, r in got.items())
+
+
 def test_rules_without_enough_labels_reject_by_base_rules_only(spark):
     _, labels = labelled(spark, 20)
     for r in quality_verdicts(documents(spark), labels).collect():

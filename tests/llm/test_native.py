@@ -50,6 +50,23 @@ def test_licences(spark):
     assert license_labels(nobody(spark)).count() == 0
 
 
+@pytest.mark.parametrize("lead", ["", "# ", " * ", "// "])
+def test_licences_across_lines(spark, lead):
+    """Every notice, wrapped at 40 columns, between other paragraphs; score 1 where a phrase stands or all words do."""
+    import textwrap
+
+    notices = [lead + ("\n" + lead).join(textwrap.wrap(t.text, 40)) for t in TEMPLATES]
+    docs = [(k, "Some words before.\n\n" + t + "\n\nand some after", "en", "s", 1) for k, t in enumerate(notices)]
+    docs += [(50, "\n".join(notices[6:8] * 2), "en", "s", 1)]
+    scattered = [w + " other" * 40 for w in word_set(TEMPLATES[7].text)]
+    docs += [(60, " ".join(scattered), "en", "s", 1), (61, "\n".join(scattered), "en", "s", 1)]
+    got = {r.doc_id: r for r in license_labels(spark.createDataFrame(docs, SCHEMA)).collect()}
+    for k, t in enumerate(TEMPLATES):
+        assert t.label in got[k].labels.split(",") and got[k].score == 1.0 and got[k].n_blocks == 1, t
+    assert got[50].labels == "bsd,cc-by-nc" and got[50].n_blocks == 4
+    assert all(got[k].labels == "" and got[k].score == 0.0 and got[k].n_blocks == 0 for k in (60, 61))
+
+
 def brute_features(text):
     text = text or ""
     words = WORDS.findall(text)

@@ -5,8 +5,10 @@ random rotation, to which the vector is nearest, with its sign). Lengths are eve
 coordinate, so the largest inner product is the smallest angle. A query descends in every tree to the
 strings with which it shares the longest prefix, and ascends in all trees together, one character at a
 time, until the trees offer enough candidates: the size of every prefix group is counted beforehand, so
-the level where a query stops is known. The index is dealt into chunks of bounded size; in a chunk each tree
-is a sorted array in which a prefix is a range, found by binary search.
+the level where a query stops is known. The index is dealt into chunks of bounded size and the queries into
+blocks of bounded size, and each chunk meets each block in a group of its own; in a chunk each tree is a sorted
+array in which a prefix is a range, found by binary search. Chunks are dealt by a hash, so a query that is offered
+N^0.8 entries has some in most chunks, and no chunk is left out for it.
 
 All candidates of the level are taken and scored on the original vectors in double precision. Equal
 vectors are one entry with its k + 1 smallest ids: no more of them can be among k neighbours.
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 from segpanel.llm.stage import staged
 
 LENGTH = 3
+#: Index entries in a chunk, and queries in a block that meets it.
 CHUNK = 8_192
+BLOCK = 8_192
 QUERY_BLOCK = 256
 
 
@@ -129,6 +133,15 @@ def _search(key, index: pa.Table, queries: pa.Table, dimension: int, trees: int,
     return pa.table({"q": pa.array(q, pa.int64()), "rep": pa.array(rep, pa.int64()), "score": pa.array(score, pa.float64())})
 
 
+def dealt(index: DataFrame, questions: DataFrame, n: int, n_questions: int, chunk: int = CHUNK, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``chunk`` and ``block``: an entry goes to its chunk in every block, a query to its block in every chunk."""
+    chunks, blocks = max(1, -(-n // chunk)), max(1, -(-n_questions // block))
+    left = index.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.lit(chunks)).cast("int"))
+    right = questions.withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.lit(blocks)).cast("int"))
+    return (left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))),
+            right.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))))
+
+
 def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, trees: int = 64, seed: int = 11, power: float = 0.8,
             id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest found of every query among all other rows.
@@ -159,16 +172,14 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, trees: int = 6
     # Entries of one tree differ, so trees * (k + 2) of them are at least k + 2 different ones, the query's own among them.
     enough = max(int(np.ceil(n**power)), trees * (k + 2))
     levels = staged(stop_levels(index, questions, width, enough), "levels")
-    chunks = -(-n // CHUNK)
-    left = index.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.lit(chunks)).cast("int"))
-    right = questions.join(levels, "rep").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    left, right = dealt(index, questions.join(levels, "rep"), n, questions.count())
     most = k + 1
 
     def search(key, a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.table({"q": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         return _search(key, a, b, dimension, trees, width, most)
-    found = left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(search, "q long, rep long, score double")
+    found = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(search, "q long, rep long, score double")
     best = found.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).filter(F.col("nth") <= most)
     spread = best.join(entries.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("vec_id"))
     spread = spread.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("nth") <= most)

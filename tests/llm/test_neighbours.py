@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from segpanel.llm.neighbours import nearest
+from segpanel.llm import neighbours
+from segpanel.llm.neighbours import dealt, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, rank int"
 
@@ -64,3 +65,20 @@ def test_few_or_no_vectors(spark):
     data = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, -1.0])]
     assert {q: [i for _, i, _ in a] for q, a in answers(spark, data).items()} == {q: [i for _, i in a] for q, a in brute(data).items()}
     assert answers(spark, [(0, [0.0, 0.0])]) == {} and answers(spark, [(0, [1.0, 2.0])]) == {}
+
+
+def test_queries_are_dealt_into_bounded_blocks(spark):
+    """Every entry meets every query once, in groups that neither side makes large."""
+    index, questions = spark.range(2000).withColumnRenamed("id", "rep"), spark.range(0, 2000, 2).withColumnRenamed("id", "rep")
+    left, right = dealt(index, questions, 2000, 1000, chunk=200, block=100)
+    sizes = [side.groupBy("chunk", "block").count().agg(F.count("*"), F.max("count")).first() for side in (left, right)]
+    assert [n for n, _ in sizes] == [100, 100] and sizes[0][1] < 300 and sizes[1][1] < 200
+    met = left.select("chunk", "block", F.col("rep").alias("a")).join(right.select("chunk", "block", F.col("rep").alias("q")), ["chunk", "block"])
+    assert met.count() == 2000 * 1000 == met.select("a", "q").distinct().count()
+
+
+def test_blocks_do_not_change_answers(spark, monkeypatch):
+    data = [(i, v.tolist()) for i, v in enumerate(vectors(400, 8))]
+    want = answers(spark, data)
+    monkeypatch.setattr(neighbours, "dealt", lambda *sides: dealt(*sides, chunk=150, block=7))
+    assert answers(spark, data) == want and len(want) == 20

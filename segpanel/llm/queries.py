@@ -8,6 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segpanel.llm import contamination as leaks
 from segpanel.llm import oracles
 from segpanel.llm.licenses import license_labels
 from segpanel.llm.line_dedup import dedup_lines
@@ -69,6 +70,10 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(documents(spark, sf), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.contamination(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"), span=10)
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_line_dedup": op2_line_dedup,
@@ -80,9 +85,11 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
+    "op13_decontamination": op13_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": oracles.JACCARD,
     "op6_license_scan": oracles.licences(),
     "op7_source_mixing": oracles.MIXING,
+    "op13_decontamination": leaks.oracle(),
 }

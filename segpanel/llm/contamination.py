@@ -84,6 +84,10 @@ def _short(h: Column, size: int) -> Column:
     return F.xxhash64(h, F.lit(size))
 
 
+def _all_short(grams: str, size: int) -> Column:
+    return F.transform(grams, lambda h: _short(h, size))
+
+
 def item_runs(benchmark: DataFrame, span: int) -> DataFrame:
     """item_id, size, h, ws: every run of ``span`` words of each item, or the whole of a shorter one; and the hash of its words."""
     items = with_words(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"), "text")
@@ -112,7 +116,7 @@ def _probed(docs: DataFrame, fingerprints: DataFrame, sizes: list[int], span: in
     """doc_id, k1, k2, n_words, copies (equal rows) and met (a kept hash of the text is an item's too)."""
     rows = with_words(docs.select("doc_id", "text", *text_keys(F.coalesce("text", F.lit("")))), "text").drop("text")
     rows = with_minima(with_grams(rows, [gram, *sizes]), gram, span - gram + 1)
-    kept = F.array_distinct(F.concat("_min", *[F.transform(f"_g{s}", lambda h, s=s: _short(h, s)) for s in sizes]))
+    kept = F.array_distinct(F.concat("_min", *[_all_short(f"_g{s}", s) for s in sizes]))
     probes = rows.select("doc_id", *_KEY, F.size("words").cast("long").alias("n_words"), F.posexplode_outer(kept).alias("at", "fp"))
     met = probes.join(fingerprints.withColumn("one", F.lit(1)), "fp", "left")
     return met.groupBy("doc_id", *_KEY, "n_words").agg(
@@ -123,8 +127,8 @@ def _candidates(texts: DataFrame, fingerprints: DataFrame, sizes: list[int], spa
     """k1, k2, at, ws: the runs of words around each hit, and those as long as a short item."""
     width, n = span - gram + 1, F.size("words")
     rows = with_minima(with_grams(with_words(texts, "text").drop("text"), [gram, *sizes]), gram, width)
-    # A hash is kept where it is the smallest of one of the windows that it lies in.
-    laid = F.transform(f"_g{gram}", lambda g, i: F.struct(i.alias("i"), g.alias("fp"), F.greatest(*[F.get("_min", i - d) for d in range(width)]).alias("top")))
+    # A hash is kept where it is the smallest of one of the windows that it lies in (the last place holds null: greatest() wants two).
+    laid = F.transform(f"_g{gram}", lambda g, i: F.struct(i.alias("i"), g.alias("fp"), F.greatest(*[F.get("_min", i - d) for d in range(width)], F.lit(None).cast("long")).alias("top")))
     around = F.transform(F.filter(laid, lambda x: x["fp"] == x["top"]), lambda x: F.struct(
         x["fp"].alias("fp"), F.greatest(x["i"] - (width - 1), F.lit(0)).alias("first"),
         F.least(x["i"], n - span).alias("last"),

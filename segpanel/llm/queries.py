@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segpanel.llm import contamination as leaks
+from segpanel.llm import hard_negatives as hard
 from segpanel.llm import oracles
 from segpanel.llm.licenses import license_labels
 from segpanel.llm.line_dedup import dedup_lines
@@ -18,6 +19,7 @@ from segpanel.llm.packing import pack_documents
 from segpanel.llm.quality_rules import quality_verdicts
 from segpanel.llm.sharding import shard_digests
 from segpanel.llm.similar_sets import jaccard_components
+from segpanel.llm.spelling import spelling_forms
 from segpanel.llm.token_counts import token_counts
 from segpanel.llm.token_files import write_token_files
 
@@ -70,6 +72,16 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(documents(spark, sf), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", label.alias("label"))
+    return hard.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_forms(documents(spark, sf))
+
+
 def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.contamination(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"), span=10)
 
@@ -85,11 +97,14 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_decontamination": op13_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": oracles.JACCARD,
     "op6_license_scan": oracles.licences(),
     "op7_source_mixing": oracles.MIXING,
+    "op11_hard_negatives": hard.ORACLE,
     "op13_decontamination": leaks.oracle(),
 }

@@ -10,7 +10,9 @@ from queries.registry import query
 from segpanel.functions import expr as E
 from segpanel.operators.clean import RAW_COLUMNS, prepare, project_allowed, type_rows
 from segpanel.operators.ranks import with_row_id
-from segpanel.sources import readers, writers
+from segpanel.plans import refresh
+from segpanel.session import materialize
+from segpanel.sources import order, readers, versions, writers
 
 _NULLED = ", ".join(f"CASE WHEN upper(trim({c})) NOT IN {NULLS} THEN {c} END AS {c}" for c in RAW_COLUMNS)
 
@@ -51,6 +53,69 @@ def parquet_roundtrip(spark, sf):
     return spark.read.parquet(path).drop("year")
 
 
+_K4 = ", ".join(t.KEYS)
+
+
+@query("ordered_write", f"SELECT week, {_K4}, n, row_number() OVER (ORDER BY week, {_K4}) AS position FROM weekly4")
+def ordered_write(spark, sf):
+    """Rows of a totally ordered write, with the places at which they stand in its files."""
+    path = t.scratch(spark, "ordered")
+    writers.write_parquet(t.weekly(spark, sf), path, ["week", *t.KEYS])
+    return order.with_positions(spark, path)
+
+
+@query("order_proof", f"""SELECT 'sorted' AS name, count(*) AS rows, CAST(0 AS BIGINT) AS breaks, true AS sound FROM weekly4
+UNION ALL SELECT 'backwards', count(*), count(*) FILTER (WHERE earlier > week), count(*) FILTER (WHERE earlier > week) = 0
+  FROM (SELECT week, lag(week) OVER (ORDER BY week DESC, {_K4}) AS earlier FROM weekly4)
+UNION ALL SELECT 'twice', 2 * count(*), count(*), count(*) = 0 FROM weekly4""")
+def order_proof(spark, sf):
+    """Breaks of a sorted table, of one sorted backwards by week, and (equal neighbours counting) of one with every row twice."""
+    weekly = materialize(t.weekly(spark, sf))
+    paths = {name: t.scratch(spark, name) for name in ("sorted", "backwards", "twice")}
+    writers.write_parquet(weekly, paths["sorted"], ["week", *t.KEYS])
+    writers.write_parquet(weekly, paths["backwards"], [F.desc("week"), *t.KEYS])
+    writers.write_parquet(weekly.unionByName(weekly), paths["twice"], ["week", *t.KEYS])
+    return order.in_order([
+        ("sorted", order.order_report(spark, paths["sorted"], ["week", *t.KEYS], strict=True)),
+        ("backwards", order.order_report(spark, paths["backwards"], ["week"])),
+        ("twice", order.order_report(spark, paths["twice"], ["week", *t.KEYS], strict=True))])
+
+
+@query("table_versions", """SELECT 1 AS version, week, grp, area, cat, cls, n FROM weekly4 WHERE cls = 'F'
+UNION ALL SELECT 2, week, grp, area, cat, cls, 2 * n FROM weekly4 WHERE cls = 'F'""")
+def table_versions(spark, sf):
+    """A table replaced by rows made from itself; both versions can be read."""
+    root = t.scratch(spark, "weekly-table")
+    versions.replace_table(t.weekly(spark, sf).filter("cls = 'F'"), root, ["week", *t.KEYS])
+    versions.replace_table(versions.read_table(spark, root).withColumn("n", 2 * F.col("n")), root, ["week", *t.KEYS])
+    return versions.read_table(spark, root, 1).select(F.lit(1).alias("version"), "*").unionByName(versions.read_table(spark, root).select(F.lit(2).alias("version"), "*"))
+
+
+_LATE = "(k % 10 = 0 AND day BETWEEN DATE '2000-03-01' AND DATE '2000-05-31')"
+
+
+def _refreshed(spark, sf):
+    """Weekly counts of events that come in two deliveries; the second brings late rows of three months."""
+    source = t.scratch(spark, "deliveries")
+    rows = materialize(t.events(spark, sf).select("k", "day", *t.KEYS))
+    rows.filter(f"NOT {_LATE}").repartitionByRange("day").write.parquet(source)
+    table = refresh.PeriodTable(t.scratch(spark, "weekly-counts"), source, "day", tuple(t.KEYS), f"day BETWEEN DATE '{t.MIN_DAY}' AND DATE '{t.AS_OF}'")
+    refresh.refresh(spark, table)
+    rows.filter(_LATE).write.mode("append").parquet(source)
+    return table, refresh.refresh(spark, table)
+
+
+@query("refresh_counts", "SELECT week, grp, area, cat, cls, n FROM weekly4")
+def refresh_counts(spark, sf):
+    return refresh.read_counts(spark, _refreshed(spark, sf)[0])
+
+
+@query("refresh_touched", f"SELECT DISTINCT CAST(date_trunc('week', day) AS DATE) AS week FROM ok WHERE {_LATE}")
+def refresh_touched(spark, sf):
+    """Weeks that the second delivery made the refresh count anew."""
+    return spark.createDataFrame([(week,) for week in _refreshed(spark, sf)[1].periods], "week date")
+
+
 @query("metrics_json_roundtrip", "SELECT cat, count(*) AS rows, min(day) AS first_day FROM ok GROUP BY cat")
 def metrics_json_roundtrip(spark, sf):
     path = t.scratch(spark, "metrics")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from segpanel.functions.expr import dround, pct, sround
 from segpanel.operators.aggregate import grouping_levels
-from segpanel.operators.ranks import rank_within
+from segpanel.operators.selection import kth_places, place_of, with_place
 from segpanel.session import materialize
 
 _SUMS = ("rows_all", "events_all", "k", "events", "abs_sum", "sq_sum", "wabs_sum")
@@ -68,22 +68,24 @@ def top_k_capture(long: DataFrame, keys: Sequence[str], fraction: str = "0.1", w
                   method: str = "method") -> DataFrame:
     """Share of the volume in the true top-k cells of a week that the predicted top-k also holds.
 
-    k is the given decimal fraction of the week's cells, rounded up. Ranks come from a range
-    partitioned numbering, so a week with very many segments is not one task.
+    k is the given decimal fraction of the week's cells, rounded up; ties go by ``keys``. The k-th cells are found by
+    counting (``kth_places``), so nothing is sorted but the few cells around them.
     """
-    # Sampling for the first sort reads the cells too, so they are computed once.
+    # Every round of counting reads the cells, so they are computed once.
     cells = materialize(long.filter(F.col("actual").isNotNull() & F.col("predicted").isNotNull()).select(
         method, week, *keys, "actual", "predicted"
     ))
     group = [method, week]
-    ranked = rank_within(cells, group, [F.col("actual").desc(), *keys], "actual_rank", "cells")
-    ranked = rank_within(ranked, group, [F.col("predicted").desc(), *keys], "predicted_rank").withColumn(
-        "k", F.greatest(F.lit(1), F.ceil(F.col("cells").cast("decimal(18,0)") * F.lit(fraction).cast("decimal(6,4)"))).cast("bigint"))
-    top = F.col("actual_rank") <= F.col("k")
-    weekly = ranked.groupBy(*group).agg(
+
+    def k(cells_in_week: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(cells_in_week.cast("decimal(18,0)") * F.lit(fraction).cast("decimal(6,4)")))
+    places = [kth_places(cells, group, c, keys, k, name=f"{c}_place") for c in ("actual", "predicted")]
+    placed = with_place(cells, materialize(with_place(places[0], places[1].drop("k"), group)), group)
+    top, chosen = (place_of(c, keys) <= F.col(f"{c}_place") for c in ("actual", "predicted"))
+    weekly = placed.groupBy(*group).agg(
         F.max("k").alias("k"),
         F.sum(F.when(top, F.col("actual"))).alias("top_events"),
-        F.coalesce(F.sum(F.when(top & (F.col("predicted_rank") <= F.col("k")), F.col("actual"))), F.lit(0)).alias("captured"),
+        F.coalesce(F.sum(F.when(top & chosen, F.col("actual"))), F.lit(0)).alias("captured"),
     )
     return weekly.groupBy(method).agg(
         F.count(F.lit(1)).alias("weeks"), dround(F.avg("k"), 2).alias("avg_k"),

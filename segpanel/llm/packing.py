@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segpanel.llm.stage import shuffle_partitions, staged
-from segpanel.llm.tokens import id_table
+from segpanel.llm.tokens import chunks, encoded, id_table
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
@@ -29,20 +29,20 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
     """Token pieces of every document: ``PIECES`` and, if asked for, the ids as 32-bit integers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = id_table(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows: dict[str, list] = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = (b"".join(table.of(text)) if text else b"") + end
-                n = len(ids) // 4
-                for at in range(0, n, capacity):
-                    part = ids[4 * at:4 * (at + capacity)]
-                    values = (doc, at, len(part) // 4, zlib.crc32(part), n, part if with_ids else None)
-                    for column, v in zip(rows.values(), values):
-                        column.append(v)
-            arrays = [pa.array(rows[n], k) for n, k in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))]
-            names = list(rows)
-            yield pa.RecordBatch.from_arrays(arrays if with_ids else arrays[:-1], names if with_ids else names[:-1])
+            for at, texts in chunks(batch.column("text")):
+                ids, sizes = encoded(texts, table, "I", end_id)
+                cuts = -(-sizes // capacity)
+                owner = np.repeat(np.arange(len(sizes)), cuts)
+                start = (np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * capacity
+                length = np.minimum(sizes[owner] - start, capacity)
+                first = (np.cumsum(sizes) - sizes)[owner] + start
+                raw = [memoryview(ids[a:a + n]).cast("B") for a, n in zip(first, length)]
+                columns = [batch.column("doc_id").slice(at, len(texts)).take(pa.array(owner)), pa.array(start), pa.array(length.astype(np.int32)),
+                           pa.array(list(map(zlib.crc32, raw)), pa.int64()), pa.array(sizes[owner])]
+                if with_ids:
+                    columns.append(pa.array([bytes(r) for r in raw], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][:len(columns)])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
 
 

@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segpanel.llm.stage import shuffle_partitions, stage_root, staged
-from segpanel.llm.tokens import id_table
+from segpanel.llm.tokens import chunks, encoded, id_table
 
 BLOCK_TOKENS = 1 << 19
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
-BLOCKS = "shard int, block long, first_token long, n_tokens long, doc_ids binary, doc_tokens binary, control binary, data binary"
+BLOCKS = "shard int, block long, first_token long, n_tokens long, doc_ids binary, no_ids binary, doc_tokens binary, control binary, data binary"
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -88,7 +88,7 @@ class TokenFiles:
                     ends = np.cumsum(sizes)
                     ids = back[unpack(row["control"], row["data"], int(ends[-1]))]
                     yield pa.RecordBatch.from_pydict({
-                        "shard": np.full(len(docs), row["shard"], np.int32), "doc_id": pa.array(docs, mask=_nulls(docs)),
+                        "shard": np.full(len(docs), row["shard"], np.int32), "doc_id": pa.array(docs, mask=np.frombuffer(row["no_ids"], bool)),
                         "in_shard": row["first_token"] + ends - sizes, "n_tokens": sizes,
                         name: pa.array([value(ids[e - s:e]) for s, e in zip(sizes, ends)], kind),
                     })
@@ -101,13 +101,6 @@ class TokenFiles:
             "doc_id", (F.col("base") + F.col("in_shard")).alias("start"), "n_tokens", name)
 
 
-_NULL_DOC = np.iinfo(np.int64).min
-
-
-def _nulls(docs: np.ndarray) -> np.ndarray:
-    return docs == _NULL_DOC
-
-
 def _by_rank(ranks: DataFrame) -> np.ndarray:
     """Id of each rank. As many rows as the vocabulary has ids, whatever the documents."""
     rows = ranks.select("rank", "id").collect()
@@ -118,19 +111,27 @@ def _by_rank(ranks: DataFrame) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned integers of 2 bytes, or 4 for a large vocabulary)."""
+    """doc_id, n_tokens, ids (little-endian unsigned integers of 2 bytes, or 4 for a large vocabulary) of every row; and from each task one row
+    with ``counts`` alone: how often it has met each id, as 64-bit integers."""
     code = _code(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = id_table(path, code)
-        end = b"" if end_id is None else np.array([end_id], code).tobytes()
+        table, total = id_table(path, code), np.zeros(0, np.int64)
         for batch in batches:
-            ids = [(b"".join(table.of(t)) if t else b"") + end for t in batch.column("text").to_pylist()]
-            size = np.dtype(code).itemsize
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(i) // size for i in ids], pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "n_tokens", "ids"])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+            for at, texts in chunks(batch.column("text")):
+                ids, sizes = encoded(texts, table, code, end_id)
+                met = np.bincount(ids, minlength=len(total))
+                met[:len(total)] += total
+                total = met
+                offsets = np.concatenate([[0], np.cumsum(sizes)]) * ids.itemsize
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids)])
+                yield _token_rows(batch.column("doc_id").slice(at, len(texts)), pa.array(sizes), packed.cast(pa.binary()), pa.nulls(len(sizes), pa.binary()))
+        yield _token_rows(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary()))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, counts binary")
+
+
+def _token_rows(*columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), ["doc_id", "n_tokens", "ids", "counts"])
 
 
 def _code(path: str) -> str:
@@ -139,19 +140,19 @@ def _code(path: str) -> str:
     return "H" if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
 
 
-def token_frequencies(tokens: DataFrame, code: str) -> DataFrame:
-    """id, n over all documents. A task sums its documents before anything is shuffled."""
+def token_frequencies(tokens: DataFrame) -> DataFrame:
+    """id, n over all documents, from the counts of the tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                counts = np.bincount(np.frombuffer(ids, code))
-                if len(counts) > len(total):
-                    total = np.concatenate([total, np.zeros(len(counts) - len(total), np.int64)])
-                total[:len(counts)] += counts
+            for raw in batch.column("counts").to_pylist():
+                met = np.frombuffer(raw, np.int64)
+                long, short = (met, total) if len(met) > len(total) else (total, met)
+                total = long.copy()
+                total[:len(short)] += short
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
-    return tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.filter("counts is not null").select("counts").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, path: str | None = None) -> TokenFiles:
@@ -169,7 +170,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None
     code = _code(tokenizer)
     tokens = staged(tokenized(docs, tokenizer, end_id), "token-ids")
     by_count = Window.orderBy(F.desc("n"), "id")  # over the vocabulary
-    counts = token_frequencies(tokens, code)
+    counts = token_frequencies(tokens)
     counts.select((F.row_number().over(by_count) - 1).alias("rank"), "id", "n").write.parquet(f"{path}/ranks")
     files = TokenFiles(spark, path)
     back = _by_rank(files.ranks)
@@ -178,7 +179,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, first = TaskContext.get().partitionId(), 0, 0
-        docs_in: list[int] = []
+        docs_in: list[int | None] = []
         sizes: list[int] = []
         parts: list[np.ndarray] = []
         held = 0
@@ -186,12 +187,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None
         def flush() -> pa.RecordBatch:
             control, data = pack(rank[np.concatenate(parts)])
             return pa.RecordBatch.from_pylist([{
-                "shard": shard, "block": block, "first_token": first, "n_tokens": held, "doc_ids": np.array(docs_in, np.int64).tobytes(),
+                "shard": shard, "block": block, "first_token": first, "n_tokens": held, "doc_ids": np.array([d or 0 for d in docs_in], np.int64).tobytes(),
+                "no_ids": np.array([d is None for d in docs_in], bool).tobytes(),
                 "doc_tokens": np.array(sizes, np.int64).tobytes(), "control": control, "data": data}], schema=_BLOCK_TYPES)
         for batch in batches:
             for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
                 part = np.frombuffer(ids, code)
-                docs_in.append(_NULL_DOC if doc is None else doc)
+                docs_in.append(doc)
                 sizes.append(len(part))
                 parts.append(part)
                 held += len(part)
@@ -203,12 +205,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None
             yield flush()
     n = shuffle_partitions(spark)
     tie = F.xxhash64("ids").alias("tie")
-    ordered = tokens.select("doc_id", "ids", tie).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered = tokens.filter("ids is not null").select("doc_id", "ids", tie).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     ordered.select("doc_id", "ids").mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
     return files
 
 
 _BLOCK_TYPES = pa.schema([
-    ("shard", pa.int32()), ("block", pa.int64()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()),
+    ("shard", pa.int32()), ("block", pa.int64()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("no_ids", pa.binary()),
     ("doc_tokens", pa.binary()), ("control", pa.binary()), ("data", pa.binary()),
 ])

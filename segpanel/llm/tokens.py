@@ -4,7 +4,7 @@ A text is cut before every white-space run that follows a visible character. Nei
 tokenizer file (byte-level BPE, BPE with word ends) normalises, matches or merges across such a place,
 so what holds for the ids of a text is the sum or the sequence of what holds for its pieces.
 
-The tables of a task are bounded by ``CACHE_PIECES`` entries and emptied when full: that changes
+The tables of a task are bounded by ``CACHE_PIECES`` and ``CACHE_WORDS`` entries, of which the older half goes when they are full: that changes
 speed and never results. Pieces longer than ``MAX_CACHED_CHARS`` are not kept.
 """
 
@@ -14,15 +14,21 @@ import gc
 import json
 import re
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
-CACHE_PIECES = 800_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+CACHE_PIECES, CACHE_WORDS = 500_000, 1_000_000
 MAX_CACHED_CHARS = 100
 # White space apart from the blank and the line break, as Python sees it; a superset of what the
 # tokenizers count as white space, and not cutting is always right.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _PIECE = re.compile(r"\s*\S+|\s+")
+# Letters that both kinds of file take as one word, and signs that they take as another behind it; both lower-case these letters one by one.
+_PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]*)").fullmatch
 # Letters, digits and signs on which all Unicode versions agree.
 _PLAIN = re.compile("[\x00-ɏ]*\\Z")
 
@@ -53,39 +59,42 @@ def piece_text(key: str) -> str:
     return key[1:] if key[0] == "\t" else " " + key
 
 
-class PieceTable(dict):
-    """Key of a piece -> its value, computed from the piece's text when first met."""
+class Generations(dict):
+    """Key -> its value, computed when first met. Half of ``most`` entries are new at most; when these are full they become the
+    old ones and the old ones go, so what is met often stays. Long keys are not kept."""
 
-    def __init__(self, value: Callable[[str], object]):
+    def __init__(self, value: Callable[[str], object], most: int):
         super().__init__()
-        self.value = value
+        self.value, self.half = value, most // 2
+        self.old: dict[str, object] = {}
 
     def __missing__(self, key: str):
-        out = self.value(piece_text(key))
+        out = self.old.get(key)
+        if out is None:
+            out = self.value(key)
         if len(key) <= MAX_CACHED_CHARS:
-            if len(self) >= CACHE_PIECES:
+            if len(self) >= self.half:
+                self.old = dict(self)
                 self.clear()
             self[key] = out
         return out
 
+
+class PieceTable(Generations):
+    """Key of a piece -> its value, computed from the piece's text."""
+
+    def __init__(self, value: Callable[[str], object]):
+        super().__init__(lambda key: value(piece_text(key)), CACHE_PIECES)
+
     def of(self, text: str) -> list:
         return list(map(self.__getitem__, piece_keys(text)))
 
 
-class WordTable(dict):
-    """Word -> its value, computed when first met; bounded like ``PieceTable``."""
+class WordTable(Generations):
+    """Word -> its value."""
 
     def __init__(self, value: Callable[[str], object]):
-        super().__init__()
-        self.value = value
-
-    def __missing__(self, word: str):
-        out = self.value(word)
-        if len(word) <= MAX_CACHED_CHARS:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[word] = out
-        return out
+        super().__init__(value, CACHE_WORDS)
 
 
 class TokenizerFile:
@@ -108,6 +117,8 @@ class TokenizerFile:
         #: letters (its white space is dropped afterwards).
         self.folds = self.library.normalizer is not None
         self.suffix = self.spec["model"]["end_of_word_suffix"] or ""
+        #: What a word of letters keeps of the blank before it.
+        self.lead = self.words(" a")[0][:-1] if self.pattern is not None else None
 
     def _pattern(self):
         """Compiled pattern of the words inside a text; None if the file splits in another way."""
@@ -149,25 +160,100 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
+class IdTable(Generations):
+    """Key of a piece -> its ids as little-endian bytes. Plain words are kept without the points or commas behind them too."""
+
+    def __init__(self, path: str, code: str):
+        file = TokenizerFile(path)
+        tokenize, encode, findall, fold, lead = file.library.model.tokenize, file.library.encode, file.find, file.folds, file.lead
+        lead_symbols = file.symbols(lead or "")
+
+        def ids_of(symbols: str) -> bytes:
+            return array(code, [t.id for t in tokenize(symbols)]).tobytes()
+
+        def plain_ids(word: str) -> bytes:
+            # Visible ASCII characters stand for themselves.
+            word = word.lower() if fold else word
+            return ids_of(lead_symbols + (word if word.isascii() else file.symbols(word)))
+        words, plain = WordTable(lambda word: ids_of(file.symbols(word))), WordTable(plain_ids)
+        word_ids = words.__getitem__
+
+        def text_bytes(text: str) -> bytes:
+            if text.isascii() and "<" not in text and findall is not None:
+                return b"".join(map(word_ids, findall(text.lower() if fold else text)))
+            if file.plain(text):
+                return b"".join(map(word_ids, file.words(text)))
+            return array(code, encode(text, add_special_tokens=False).ids).tobytes()
+
+        def value(key: str) -> bytes:
+            if lead is not None and (found := _PLAIN_WORD(key)):
+                body, tail = found.groups()
+                return plain[body] + words[tail] if tail else plain[body]
+            return text_bytes(piece_text(key))
+        super().__init__(value, CACHE_PIECES)
+
+    def of(self, text: str) -> list:
+        return list(map(self.__getitem__, piece_keys(text)))
+
+
 @lru_cache(maxsize=4)
-def id_table(path: str, code: str = "I") -> PieceTable:
-    """Piece -> its ids as little-endian bytes (``code``: array type), by the tokenizers library's file.
+def id_table(path: str, code: str = "I") -> IdTable:
+    """Table for the tokenizers library's file (``code``: array type).
 
-    One table for each worker process: a later task goes on with what an earlier one has found.
+    One for each worker process: a later task goes on with what an earlier one has found.
     """
     gc.disable()  # the tables hold millions of strings and no cycles; full collections would walk them
-    file = TokenizerFile(path)
-    tokenize, encode, findall = file.library.model.tokenize, file.library.encode, file.find
-    words = WordTable(lambda word: array(code, [t.id for t in tokenize(file.symbols(word))]).tobytes())
-    word_ids, fold = words.__getitem__, file.folds
-
-    def value(text: str) -> bytes:
-        if text.isascii() and "<" not in text and findall is not None:
-            return b"".join(map(word_ids, findall(text.lower() if fold else text)))
-        if file.plain(text):
-            return b"".join(map(word_ids, file.words(text)))
-        return array(code, encode(text, add_special_tokens=False).ids).tobytes()
-    return PieceTable(value)
+    return IdTable(path, code)
+
+
+@lru_cache(maxsize=1)
+def _uneven() -> str:
+    """Pattern of texts whose pieces don't begin at each single blank or line break."""
+    spaces = "".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+    return f"  |\n |^ | $|[{spaces}]"
+
+
+def chunks(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of about ``most`` bytes together, each with the place of its first text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+        yield at, texts.slice(at, end - at)
+        at = end
+
+
+def encoded(texts: pa.Array, table: IdTable, code: str, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and how many each has, with ``end_id`` after each. Null counts as empty.
+
+    The texts are cut together, and each distinct piece of theirs is looked up once.
+    """
+    texts = pc.fill_null(texts, "")
+    spaced = pc.replace_substring(texts, "\n", " \n")
+    empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
+    uneven = pc.match_substring_regex(spaced, _uneven()).to_numpy(zero_copy_only=False) & ~empty
+    even = np.flatnonzero(~uneven & ~empty)
+    parts = pc.split_pattern(pc.binary_join_element_wise("\t", spaced.take(pa.array(even)), ""), " ")
+    pieces = parts.flatten().dictionary_encode()
+    raw = list(map(table.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False).tolist()))
+    alone = np.flatnonzero(uneven)
+    raw += [b"".join(table.of(t)) for t in texts.take(pa.array(alone)).to_pylist()]
+    raw.append(b"" if end_id is None else array(code, [end_id]).tobytes())
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(code).itemsize
+    # The pieces of all texts in order, an uneven text being one, and the end after each text.
+    counts = np.zeros(len(texts), np.int64)
+    counts[even] = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+    counts[alone] = 1
+    order = np.full(int(counts.sum()) + len(texts), len(raw) - 1, np.int64)
+    first = np.cumsum(counts + 1) - counts - 1
+    inner = np.repeat(first[even], counts[even]) + np.arange(len(pieces)) - np.repeat(np.cumsum(counts[even]) - counts[even], counts[even])
+    order[inner] = pieces.indices.to_numpy()
+    order[first[alone]] = len(pieces.dictionary) + np.arange(len(alone))
+    found = np.empty(len(raw), object)
+    found[:] = raw
+    ids = np.frombuffer(b"".join(found[order].tolist()), code)
+    upto = np.cumsum(sizes[order])
+    return ids, np.diff(upto[first + counts], prepend=0)
 
 
 def text_ids(texts: Iterable[str], table: PieceTable) -> Iterable[bytes]:

@@ -110,13 +110,7 @@ def date_range(spark, sf):
 @query("dictionary_encode", "\nUNION ALL\n".join(
     f"SELECT '{d}' AS dimension, {d} AS label, row_number() OVER (ORDER BY {d}) - 1 AS code FROM (SELECT DISTINCT {d} FROM weekly4)" for d in t.KEYS))
 def dictionary_encode(spark, sf):
-    weekly = materialize(t.weekly(spark, sf))
-    parts = [pb.dictionary(weekly, d).select(F.lit(d).alias("dimension"), F.col(d).alias("label"), F.col(f"{d}_index").alias("code"))
-             for d in t.KEYS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return pb.dictionaries(t.weekly(spark, sf), t.KEYS)
 
 
 @query("cube_rows", "SELECT n, row_number() OVER (ORDER BY week, grp, area, cat, cls) - 1 AS row_no, " + ", ".join(f"dense_rank() OVER (ORDER BY {d}) - 1 AS {d}_index" for d in ["week", *t.KEYS]) + " FROM weekly4")
@@ -124,12 +118,25 @@ def cube_rows(spark, sf):
     return pb.cube_rows(materialize(t.weekly(spark, sf)), t.KEYS)
 
 
-@query("cube_offsets_hit", "SELECT row_number() OVER (ORDER BY week) - 1 AS week_index, true AS found FROM (SELECT DISTINCT week FROM weekly4)")
+@query("cube_offsets_hit", """SELECT row_number() OVER (ORDER BY week) - 1 AS week_index, true AS found, row_number() OVER (ORDER BY week) = 1 AS found_shifted
+  FROM (SELECT DISTINCT week FROM weekly4)""")
 def cube_offsets_hit(spark, sf):
-    """Whether each week's offset is the least row number of its rows."""
+    """Whether each week's offset is the least row number of its rows; and the same with offsets moved by one row but for the first."""
     weekly = materialize(t.weekly(spark, sf))
     first = pb.cube_rows(weekly, t.KEYS).groupBy("week_index").agg(F.min("row_no").alias("row_no"))
-    return first.join(pb.cube_offsets(weekly), "week_index").select("week_index", (F.col("row_no") == F.col("row_start")).alias("found"))
+    hit = first.join(pb.cube_offsets(weekly), "week_index")
+    moved = F.col("row_start") + F.when(F.col("week_index") > 0, 1).otherwise(0)
+    return hit.select("week_index", (F.col("row_no") == F.col("row_start")).alias("found"), (F.col("row_no") == moved).alias("found_shifted"))
+
+
+@query("cube_range", f"""SELECT * FROM (SELECT row_number() OVER (ORDER BY week, grp, area, cat, cls) - 1 AS row_no, dense_rank() OVER (ORDER BY week) - 1 AS week_index,
+  dense_rank() OVER (ORDER BY grp) - 1 AS grp_index, n FROM weekly4) WHERE week_index BETWEEN 40 AND 43""")
+def cube_range(spark, sf):
+    """Four weeks of a written cube, read by their range of row numbers."""
+    weekly = materialize(t.weekly(spark, sf))
+    path = t.scratch(spark, "cube")
+    pb.write_cube(pb.cube_rows(weekly, t.KEYS), path, 64 << 10)
+    return pb.read_cube(spark, path, pb.cube_offsets(weekly), 40, 43).select("row_no", "week_index", "grp_index", "n")
 
 
 @query("cube_offsets", """SELECT row_number() OVER (ORDER BY week) - 1 AS week_index, CAST(sum(k) OVER (ORDER BY week) - k AS BIGINT) AS row_start

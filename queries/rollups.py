@@ -12,9 +12,11 @@ from queries.ctes import cell, norm
 from queries.registry import query
 from segpanel.functions import expr as E
 from segpanel.operators import aggregate as a
+from segpanel.operators import sketches as sk
 from segpanel.operators import trends as tr
 from segpanel.operators.association import association_matrix, cramers_v
 from segpanel.operators.ranks import exact_quantiles, rank_within, top_ranked, top_within, with_row_id
+from segpanel.session import materialize
 
 
 @query("weekly_counts", "SELECT week, grp, area, cat, cls, n FROM weekly4")
@@ -61,6 +63,32 @@ def lag_quantiles(spark, sf):
     return exact_quantiles(t.stream_events(spark, sf), "value", [0.5, 0.9, 0.99]).select("p", E.dround("value", 6).alias("value"))
 
 
+@query("quantiles_by_type", """SELECT event_type, p, round(v, 6) AS value FROM (SELECT event_type, unnest([0.1, 0.5, 0.9, 0.99]::DOUBLE[]) AS p,
+  unnest(quantile_cont(value, [0.1, 0.5, 0.9, 0.99])) AS v FROM events GROUP BY event_type)""")
+def quantiles_by_type(spark, sf):
+    """Exact quantiles of every event type; the small limit makes the brackets be cut at every size."""
+    rows = materialize(t.stream_events(spark, sf).select("event_type", "value"))
+    return sk.quantiles_within(rows, ["event_type"], "value", [0.1, 0.5, 0.9, 0.99], limit=200).withColumn("value", E.dround("value", 6))
+
+
+@query("distinct_rollup", """SELECT event_type, CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS n, count(DISTINCT user_id) AS users, true AS within_error
+  FROM events GROUP BY ALL""")
+def distinct_rollup(spark, sf):
+    """Users of a month from the sketches of its days, next to the exact number."""
+    rows = t.stream_events(spark, sf).withColumn("day", F.col("ts").cast("date"))
+    daily = materialize(sk.counts_with_distinct(rows, F.col("day"), "day", ["event_type"], "user_id"))
+    about = sk.roll_up_distinct(daily, ["event_type", E.month_of("day").alias("month")])
+    exact = rows.groupBy("event_type", E.month_of("day").alias("month")).agg(F.countDistinct("user_id").alias("users"))
+    return about.join(exact, ["event_type", "month"]).select(
+        "event_type", "month", "n", "users", (F.abs(F.col("about") - F.col("users")) <= 0.035 * F.col("users")).alias("within_error"))
+
+
+@query("top_values_counted", """SELECT value, rows FROM (SELECT CAST(user_id AS VARCHAR) AS value, count(*) AS rows FROM events GROUP BY user_id) ORDER BY rows DESC, value LIMIT 20
+""")
+def top_values_counted(spark, sf):
+    return sk.top_values_counted(t.stream_events(spark, sf), "user_id", 20)
+
+
 @query("top_values", """SELECT CAST(user_id AS VARCHAR) AS value, count(*) AS rows, round(count(*) * 100.0 / (SELECT count(*) FROM events), 4) AS pct
   FROM events GROUP BY user_id ORDER BY rows DESC, value LIMIT 20""")
 def top_values(spark, sf):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segpanel.functions.expr import UNKNOWN, dround, label_match, pct
 from segpanel.operators.aggregate import dominant_value
-from segpanel.operators.ranks import top_ranked, with_row_id
+from segpanel.operators.ranks import rank_within, top_ranked, with_row_id
+from segpanel.session import materialize
 
 
 def date_range(events: DataFrame, weekly: DataFrame, time: str = "day", week: str = "week",
@@ -49,24 +50,50 @@ def dictionary(table: DataFrame, dim: str) -> DataFrame:
     return with_row_id(labels, [dim], "__code").withColumn(f"{dim}_index", F.col("__code") - 1).drop("__code")
 
 
+def dictionaries(table: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """dimension, label, code: the sorted labels of every dimension with codes from 0, numbered in one sort for all of them."""
+    labels = table.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("label")) for d in dims])).alias("x"))
+    labels = labels.select("x.*").filter(F.col("label").isNotNull()).distinct()
+    return rank_within(labels, ["dimension"], ["label"], "code").withColumn("code", F.col("code") - 1)
+
+
 def dictionary_encode(table: DataFrame, dims: Sequence[str]) -> DataFrame:
     """Replace labels by codes; Spark decides how a dictionary is joined by its size."""
-    out = table
+    out, codes = table, materialize(dictionaries(table, dims))
     for dim in dims:
-        out = out.withColumn(dim, F.col(dim).cast("string")).join(dictionary(table, dim), dim, "left").drop(dim)
+        own = codes.filter(F.col("dimension") == dim).select(F.col("label").alias(dim), F.col("code").alias(f"{dim}_index"))
+        out = out.withColumn(dim, F.col(dim).cast("string")).join(own, dim, "left").drop(dim)
     return out
 
 
 def cube_rows(weekly: DataFrame, dims: Sequence[str], week: str = "week", value: str = "n") -> DataFrame:
     """Encoded weekly rows in the cube's order: row number from 0, week and dimension codes and the count.
 
-    ``cube_offsets`` gives the row number of each week's first row.
+    ``cube_offsets`` gives the row number of each week's first row. ``weekly`` should be a written table.
     """
     coded = dictionary_encode(with_row_id(weekly, [week, *dims], "__row"), [week, *dims])
     return coded.select((F.col("__row") - 1).alias("row_no"), f"{week}_index", *[f"{d}_index" for d in dims],
                         F.col(value).cast("bigint").alias(value))
 
 
+def write_cube(rows: DataFrame, path: str, group_bytes: int = 8 << 20) -> None:
+    """``cube_rows`` in the order of their numbers, in row groups of about ``group_bytes``, so that a range of numbers is a few of these."""
+    rows.orderBy("row_no").write.mode("overwrite").option("parquet.block.size", str(group_bytes)).parquet(path)
+
+
+def read_cube(spark: SparkSession, path: str, offsets: DataFrame, first_week: int, last_week: int) -> DataFrame:
+    """Rows of a written cube from one week code to another, both included.
+
+    The two row numbers that bound them come from ``offsets`` (one row for each week) and go into the scan as a filter, which
+    the files' statistics turn into the row groups to read.
+    """
+    bounds = offsets.agg(F.min(F.when(F.col("week_index") >= first_week, F.col("row_start"))).alias("a"),
+                         F.min(F.when(F.col("week_index") > last_week, F.col("row_start"))).alias("b"), F.max("row_start").alias("end")).first()
+    start = bounds["end"] if bounds["a"] is None else bounds["a"]
+    stop = bounds["end"] if bounds["b"] is None else bounds["b"]
+    return spark.read.parquet(path).filter((F.col("row_no") >= F.lit(start)) & (F.col("row_no") < F.lit(stop)))
+
+
 def cube_offsets(weekly: DataFrame, week: str = "week") -> DataFrame:
     """First row number of every week in the sorted cube, and one terminal row with the total.
 

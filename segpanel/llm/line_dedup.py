@@ -196,22 +196,22 @@ def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     doc_id and text are one document and keep the same lines; of rows with equal doc_id and different texts, a
     hash of the text decides which is earlier.
     """
-    docs = docs.drop("n_lines", "n_exact", "n_near", "_lines")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
     verdicts = line_verdicts(docs, min_words)
     # A repeated row tells each line again; one row for each document and line is left.
     told = verdicts.groupBy("doc_id", "text_key", "line_no").agg(F.max("exact").alias("exact"), F.max("near").alias("near"))
     per_doc = staged(told.groupBy("doc_id", "text_key").agg(
         F.count("*").alias("n_lines"), F.count_if("exact").alias("n_exact"), F.count_if(F.col("near") & ~F.col("exact")).alias("n_near"),
-        F.sort_array(F.collect_list(F.when(F.col("exact") | F.col("near"), F.col("line_no")))).alias("_gone")), "line-verdicts")
-    some = _bounded(per_doc.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "n_lines", "n_exact", "n_near", "_gone"), F.lit(8) + F.size("_gone"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    out = keyed.join(some, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+        F.sort_array(F.collect_list(F.when(F.col("exact") | F.col("near"), F.col("line_no")))).alias("gone")), "line-verdicts")
+    some = _bounded(per_doc, F.lit(8) + F.size("gone")).alias("v")
+    # The row travels as one value, so its columns can have any names.
+    keyed = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key")).alias("d")
+    out = keyed.join(some, F.col("d.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("d.text_key") == F.col("v.text_key")), "left")
     # Line numbers that stay, then their lines: in proportion to the text's lines.
-    cut = F.size("_gone") > 0
-    out = out.withColumn("_lines", F.when(cut, F.split("text", "\n", -1)))
-    out = out.withColumn("_stay", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")))
-    joined = F.array_join(F.transform("_stay", lambda i: F.get(F.col("_lines"), i)), "\n")
-    text = F.when(cut, joined).otherwise(F.col("text"))
-    zero = F.lit(0).cast("long")
-    return out.withColumn("text", text).withColumns({c: F.coalesce(c, zero) for c in ("n_lines", "n_exact", "n_near")}).drop(
-        "_key", "_d", "_k", "_gone", "_lines", "_stay")
+    cut = F.size("gone") > 0
+    out = out.withColumn("lines", F.when(cut, F.split("row.text", "\n", -1)))
+    out = out.withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")))
+    joined = F.array_join(F.transform("stay", lambda i: F.get(F.col("lines"), i)), "\n")
+    text = F.when(cut, joined).otherwise(F.col("row.text"))
+    return out.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in columns],
+                      *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_lines", "n_exact", "n_near")])

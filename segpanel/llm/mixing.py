@@ -8,13 +8,13 @@ are exploded and ordered by another hash, which shuffles the corpus globally.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segpanel.llm.stage import shuffle_partitions, staged
 
-#: Sources are broadcast if their table has at most so many rows (about 1 MB); otherwise it is joined by a shuffle.
-BROADCAST_SOURCES = 2_000
+#: Sources are broadcast if their steps are at most so many numbers (2 MB); otherwise their table is joined by a shuffle.
+BROADCAST_VALUES = 250_000
 _DIGITS = 13  # of the hash, in base 16: 52 bits
 
 
@@ -23,21 +23,24 @@ def hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, _DIGITS), 16, 10).cast("double") / F.lit(float(16 ** _DIGITS))
 
 
-def poisson_steps(rate: Column) -> Column:
-    """Values of the distribution function at 0, 1, 2 ..., so far that 1 minus the last is below 2**-53.
+def with_poisson_steps(rates: DataFrame) -> DataFrame:
+    """source_key, steps for rows of source_key, rate: values of the distribution function at 0, 1, 2 ..., so far that 1 minus the last is below 2**-53.
 
-    Terms are summed from their logarithms, so a large rate doesn't underflow.
+    A row for each source and step, in proportion to the rate. Terms are summed from their logarithms, so a large rate doesn't underflow.
     """
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    return F.aggregate(
-        F.sequence(F.lit(1), last),
-        F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("steps")),
-        lambda a, k: F.struct(
-            (a["log"] + F.log(rate) - F.log(k.cast("double"))).alias("log"),
-            (a["sum"] + F.exp(a["log"] + F.log(rate) - F.log(k.cast("double")))).alias("sum"),
-            F.concat(a["steps"], F.array(a["sum"] + F.exp(a["log"] + F.log(rate) - F.log(k.cast("double"))))).alias("steps")),
-        lambda a: a["steps"],
-    )
+    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")
+    terms = rates.select("source_key", "rate", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    upto = Window.partitionBy("source_key").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    logs = F.sum(F.when(F.col("k") > 0, F.log("rate") - F.log(F.col("k").cast("double"))).otherwise(-F.col("rate"))).over(upto)
+    values = terms.withColumn("log", logs).withColumn("value", F.sum(F.exp("log")).over(upto))
+    steps = F.transform(F.sort_array(F.collect_list(F.struct("k", "value"))), lambda x: x["value"])
+    return values.groupBy("source_key").agg(steps.alias("steps"))
+
+
+def steps_upto(steps: Column, u: Column) -> Column:
+    """How many of the ascending ``steps`` are at most ``u``, by bisection."""
+    jumps = F.array(*[F.lit(1 << i) for i in range(30, -1, -1)])
+    return F.aggregate(jumps, F.lit(0), lambda at, jump: F.when((at + jump <= F.size(steps)) & (F.get(steps, at + jump - 1) <= u), at + jump).otherwise(at))
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, total: float = 1.0) -> DataFrame:
@@ -73,16 +76,17 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     its text. Columns of ``docs`` that bear the names of the added ones are replaced; all others stay. An
     empty table stays empty.
     """
-    docs = docs.drop("copy", "n_copies", "order_key", "_rate_key", "_steps")
-    rates = staged(source_rates(docs, weights, power, total).filter("rate > 0").select(
-        F.col("source_key").alias("_rate_key"), poisson_steps(F.col("rate")).alias("_steps")), "source-rates")
-    small = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    keyed = docs.withColumn("_rate_key", F.coalesce("source", F.lit("")))
-    drawn = keyed.join(F.broadcast(rates) if small else rates, "_rate_key")
+    columns = [c for c in docs.columns if c not in ("copy", "n_copies", "order_key")]
+    rates = staged(with_poisson_steps(source_rates(docs, weights, power, total).filter("rate > 0")), "source-rates")
+    held = rates.agg(F.sum(F.size("steps") + 8)).first()[0] or 0
+    # The row travels as one value, so its columns can have any names.
     name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
-    u = hashed(F.lit(f"copies{seed}"), name)
-    drawn = drawn.withColumn("n_copies", F.size(F.filter("_steps", lambda s: s <= u))).drop("_steps", "_rate_key")
+    keyed = docs.select(F.struct(*columns).alias("row"), F.coalesce("source", F.lit("")).alias("source_key"), name.alias("name"))
+    drawn = keyed.join(F.broadcast(rates) if held <= BROADCAST_VALUES else rates, "source_key")
+    drawn = drawn.withColumn("u", hashed(F.lit(f"copies{seed}"), F.col("name")))
+    drawn = drawn.withColumn("n_copies", steps_upto(F.col("steps"), F.col("u"))).drop("steps", "source_key", "u")
     copies = drawn.filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    copies = copies.withColumn("order_key", hashed(F.lit(f"order{seed}"), name, F.col("copy").cast("string")))
+    copies = copies.withColumn("order_key", hashed(F.lit(f"order{seed}"), F.col("name"), F.col("copy").cast("string")))
     n = shuffle_partitions(docs.sparkSession)
-    return copies.repartitionByRange(n, "order_key").sortWithinPartitions("order_key")
+    out = copies.select(*[F.col("row")[c].alias(c) for c in columns], "n_copies", "copy", "order_key")
+    return out.repartitionByRange(n, "order_key").sortWithinPartitions("order_key")

@@ -144,7 +144,8 @@ def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     bases = parts.groupBy(group, "part").agg(F.count("*").alias("n")).select(
         group, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     numbered = parts.withColumn("at", F.row_number().over(Window.partitionBy(group, "part").orderBy(*order)) - 1)
-    return numbered.join(F.broadcast(bases), [group, "part"]).withColumn("rank", F.col("base") + F.col("at")).drop("part", "base", "at")
+    # Spark broadcasts the bases only if they are small.
+    return numbered.join(bases, [group, "part"]).withColumn("rank", F.col("base") + F.col("at")).drop("part", "base", "at")
 
 
 def pack(rows: DataFrame, capacity: int, width: int) -> DataFrame:

@@ -58,27 +58,31 @@ def descend(rows: DataFrame, key: Column, tree: list[Leaf], out: str, seed: int
     """Add the shard of ``key``: draw a region, then one of its racks, then one of the rack's shards."""
     if not tree or sum(leaf.weight for leaf in tree) <= 0:
         raise ValueError("the tree has no weight")
+    columns = [c for c in rows.columns if c != out]
+    # The row travels as one value, so its columns can have any names.
+    rows, key = rows.select(F.struct(*columns).alias("row"), key.alias("key")), F.col("key")
     regions = _sums(tree, lambda leaf: leaf.region)
-    rows = rows.withColumn("_region", _choice(key, "region", regions.items(), seed))
+    rows = rows.withColumn("region", _choice(key, "region", regions.items(), seed))
     rack = shard = None
     for region, weight in regions.items():
         if weight > 0:
             racks = _sums((x for x in tree if x.region == region), lambda leaf: leaf.rack)
             chosen = _choice(key, "rack", racks.items(), seed)
-            rack = (F if rack is None else rack).when(F.col("_region") == region, chosen)
-    rows = rows.withColumn("_rack", F.concat_ws("/", "_region", rack))
+            rack = (F if rack is None else rack).when(F.col("region") == region, chosen)
+    rows = rows.withColumn("rack", F.concat_ws("/", "region", rack))
     for place, weight in _sums(tree, lambda leaf: f"{leaf.region}/{leaf.rack}").items():
         if weight > 0:
             shards = [(str(x.shard), x.weight) for x in tree if f"{x.region}/{x.rack}" == place]
-            shard = (F if shard is None else shard).when(F.col("_rack") == place, _choice(key, "shard", shards, seed))
-    return rows.withColumn(out, shard.cast("int")).drop("_region", "_rack")
+            shard = (F if shard is None else shard).when(F.col("rack") == place, _choice(key, "shard", shards, seed))
+    return rows.select(*[F.col("row")[c].alias(c) for c in columns], shard.cast("int").alias(out))
 
 
 def with_slots(rows: DataFrame, shard: str, order: list[str]) -> DataFrame:
     """Add ``slot``: 0, 1, 2 ... within each shard, in the order of a hash of ``order``.
 
     The hash's range is cut into as many parts as the shuffle has partitions; a shard is numbered part by
-    part and moved up by the counts of the parts before (shards x parts rows), so no task holds a shard.
+    part and moved up by the counts of the parts before (shards x parts rows, which Spark broadcasts only if they are
+    small), so no task holds a shard.
     """
     n = shuffle_partitions(rows.sparkSession)
     spread = rows.withColumn("_h", F.xxhash64(*order)).withColumn(
@@ -88,7 +92,7 @@ def with_slots(rows: DataFrame, shard: str, order: list[str]) -> DataFrame:
         shard, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     numbered = spread.withColumn("_at", F.row_number().over(Window.partitionBy(shard, "_part").orderBy(
         F.shiftrightunsigned("_h", 11), *order)) - 1)
-    return numbered.join(F.broadcast(bases), [shard, "_part"]).withColumn(
+    return numbered.join(bases, [shard, "_part"]).withColumn(
         "slot", (F.col("_base") + F.col("_at")).cast("long")).drop("_h", "_part", "_at", "_base")
 
 
@@ -102,7 +106,12 @@ def shard_documents(docs: DataFrame, tree: list[Leaf], key: str = "doc_id", seed
 
 
 def shard_digests(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, and the shard each document has with one shard more."""
+    """doc_id, size, text_crc32, law, shard, slot, and the shard each document has with one shard more.
+
+    A null text counts as empty. Rows with equal doc_id share both shards, and so do all rows without one; each has a slot of its
+    own, in the order of a hash of doc_id, text and size (ties: these themselves). Long texts are read once, whole, for their size and
+    checksum. Other columns are not looked at. An empty table gives no rows.
+    """
     tree = uniform_tree(shards)
     text = F.coalesce("text", F.lit(""))
     narrow = docs.select(

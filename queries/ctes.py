@@ -351,5 +351,8 @@ def with_clause(select: str) -> str:
     _needed(select, found)
     if not found:
         return select
-    parts = ",\n".join(f"{n} AS ({CTES[n]})" for n in found)
+    # What several tables read is computed once, whatever the engine thinks of it.
+    text = " ".join([select, *(CTES[n] for n in found)])
+    once = {n: "" if len(re.findall(rf"\b{n}\b", text)) == 1 else "MATERIALIZED " for n in found}
+    parts = ",\n".join(f"{n} AS {once[n]}({CTES[n]})" for n in found)
     return f"WITH {parts}\n{select}"

@@ -308,13 +308,23 @@ def _spread(spark, sf):
     return weekly, dates, fc.baseline_forecasts(dense_rows, t.KEYS, dates)
 
 
-@query("baseline_reconcile", """SELECT count(*) AS matched_keys, CAST(0 AS BIGINT) AS only_published, CAST(0 AS BIGINT) AS only_derived,
-  CAST(0 AS BIGINT) AS value_mismatches FROM blines4 WHERE is_next_week""")
+_NEXT = "blines4 WHERE is_next_week"
+
+
+@query("baseline_reconcile", f"""SELECT 'published' AS name, count(*) AS matched_keys, CAST(0 AS BIGINT) AS only_published, CAST(0 AS BIGINT) AS only_derived,
+  CAST(0 AS BIGINT) AS value_mismatches FROM {_NEXT}
+UNION ALL SELECT 'damaged', count(*) FILTER (WHERE area <> '3'), count(*) FILTER (WHERE area = '4'), count(*) FILTER (WHERE area = '3'),
+  count(*) FILTER (WHERE area <> '3' AND cls = 'F' AND trailing_8_week_mean IS NOT NULL) FROM {_NEXT}""")
 def baseline_reconcile(spark, sf):
+    """Of the published baseline; and of a copy without one area, with another one twice under two names, and with other values in a class."""
     weekly, dates, lines = _spread(spark, sf)
     published = fc.next_week(lines).select("week", *t.KEYS, F.col("trailing_8_week_mean").alias("baseline"))
     derived = fc.derive_baseline(weekly, t.KEYS, dates.forecast, "trailing_8_week_mean")
-    return q.compare_values(published, derived, ["week", *t.KEYS], "baseline", "derived_baseline")
+    damaged = published.filter("area <> '3'").withColumn("baseline", F.col("baseline") + F.when(F.col("cls") == "F", 1.0).otherwise(0.0))
+    damaged = damaged.unionByName(published.filter("area = '4'").withColumn("area", F.lit("no such area")))
+    parts = [q.compare_values(rows, derived, ["week", *t.KEYS], "baseline", "derived_baseline").select(F.lit(name).alias("name"), "*")
+             for name, rows in (("published", published), ("damaged", damaged))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("join_full_outer_keys", f"""SELECT coalesce(a.grp, b.grp) AS grp, coalesce(a.area, b.area) AS area, a.predicted IS NOT NULL AS has_late, b.n IS NOT NULL AS has_early

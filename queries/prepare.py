@@ -327,6 +327,22 @@ def ring_checks(spark, sf):
     return out.withColumn("ring_area", E.dround("area_size", 6)).drop("area_size", "polygon_no", "ring_no")
 
 
+@query("ring_checks_damaged", f"""SELECT area, polygon_no, ring_no, CAST(CASE WHEN k = 1 THEN 4 ELSE 5 END AS BIGINT) AS positions, k <> 1 AS closed, k <> 2 AS has_area, k <> 3 AS in_bounds, k NOT IN (1, 2, 3) AS valid
+  FROM (SELECT area, CAST(area AS INTEGER) % 6 AS k FROM {_BOXES}), (VALUES (CAST(0 AS BIGINT), CAST(0 AS BIGINT)), (0, 1), (1, 0)) r(polygon_no, ring_no)
+  WHERE polygon_no + ring_no = 0 OR (k = 4 AND ring_no = 1) OR (k = 5 AND polygon_no = 1)""")
+def ring_checks_damaged(spark, sf):
+    """By area: sound rings, open ones, ones without area, ones outside the bounds, ones with a hole, and ones with a second part."""
+    from segpanel.operators.geometry import explode_rings as rings, ring_checks as checks
+    k = F.col("area").cast("int") % 6
+    ring = F.get(F.get("coordinates", F.lit(0)), F.lit(0))
+    flat = F.transform(ring, lambda p: F.array(p[0], F.get(F.get(ring, F.lit(0)), F.lit(1))))
+    away = F.transform(ring, lambda p: F.array(p[0] + 10, p[1]))
+    outer = F.when(k == 1, F.slice(ring, 1, 4)).when(k == 2, flat).when(k == 3, away).otherwise(ring)
+    parts = F.when(k == 4, F.array(F.array(outer, ring))).when(k == 5, F.array(F.array(outer), F.array(ring))).otherwise(F.array(F.array(outer)))
+    out = checks(rings(area_features(spark, sf).withColumn("coordinates", parts), "area"), "area", t.BOX)
+    return out.select("area", F.col("polygon_no").cast("bigint").alias("polygon_no"), F.col("ring_no").cast("bigint").alias("ring_no"), "positions", "closed", "has_area", "in_bounds", "valid")
+
+
 @query("geometry_stats", f"""SELECT area, CAST(1 AS BIGINT) AS polygons, CAST(1 AS BIGINT) AS rings, CAST(5 AS BIGINT) AS positions,
   x0 AS x_min, x1 AS x_max, y0 AS y_min, y1 AS y_max FROM {_BOXES}""")
 def geometry_stats(spark, sf):

@@ -90,12 +90,22 @@ def change_levels(spark, sf):
     return fc.change_levels(areas, exact_quantiles(sizes, "size", [0.95])).select("location_key", "change", "coverage", "intensity")
 
 
-@query("forecast_reconcile", """SELECT published_rows, source_rows, CAST(0 AS BIGINT) AS wrong_change_rows, CAST(0 AS BIGINT) AS wrong_pct_rows, CAST(0 AS BIGINT) AS bad_prediction_rows,
-  true AS withheld_adds_up, true AS reasons_add_up, true AS total_matches, true AS source_total_matches, true AS coverage_matches FROM psum4""")
+_SUMMED = "true AS withheld_adds_up, true AS reasons_add_up, {} AS total_matches, true AS source_total_matches, true AS coverage_matches"
+
+
+@query("forecast_reconcile", f"""SELECT 'published' AS name, published_rows, source_rows, CAST(0 AS BIGINT) AS wrong_change_rows, CAST(0 AS BIGINT) AS wrong_pct_rows,
+  CAST(0 AS BIGINT) AS bad_prediction_rows, {_SUMMED.format("true")} FROM psum4
+UNION ALL SELECT 'damaged', published_rows, source_rows, c, p, n, {_SUMMED.format("moved <= 1e-4")} FROM psum4, (SELECT count(*) FILTER (WHERE cls = 'P' AND baseline IS NOT NULL) AS c,
+  count(*) FILTER (WHERE cls = 'F' AND change_pct IS NOT NULL) AS p, count(*) FILTER (WHERE cls = 'P') AS n, coalesce(sum(predicted + 1) FILTER (WHERE cls = 'P'), 0) AS moved FROM pub4) d""")
 def forecast_reconcile(spark, sf):
+    """Of the published forecast; and of a copy with negative predictions in one class and other percentages in another."""
     _, changes, tagged = forecast_parts(spark, sf)
     tagged = materialize(tagged)
-    return q.forecast_reconcile(tagged.filter("withheld_reason IS NULL"), changes, fc.publish_summary(tagged))
+    shown, summary = tagged.filter("withheld_reason IS NULL"), fc.publish_summary(tagged)
+    damaged = shown.withColumns({"predicted": F.when(F.col("cls") == "P", -1.0).otherwise(F.col("predicted")),
+                                 "change_pct": F.when(F.col("cls") == "F", F.col("change_pct") + 5).otherwise(F.col("change_pct"))})
+    parts = [q.forecast_reconcile(rows, changes, summary).select(F.lit(name).alias("name"), "*") for name, rows in (("published", shown), ("damaged", damaged))]
+    return parts[0].unionByName(parts[1])
 
 
 # ---- cube and slices ----------------------------------------------------------------------------
@@ -331,3 +341,36 @@ def signal_status(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("signal", "status", "reason", "rows")
+
+
+_LAST_DAY = "(SELECT max(day) FROM ok)"
+_HOT_CASES = {  # name -> rows kept, days added to the snapshot, rows added to the metrics of the highest severity
+    "hotspots": ("true", "0", 0), "hotspots_none": ("false", "0", 0), "hotspots_metrics_off": ("true", "0", 3),
+    "hotspots_two_days": ("true", "CASE WHEN rank_overall = 1 THEN -1 ELSE 0 END", 0), "hotspots_old": ("true", "-30", 0), "hotspots_ahead": ("true", "30", 0),
+}
+
+
+def _hot_case(name: str) -> str:
+    where, days, more = _HOT_CASES[name]
+    return f"""SELECT '{name}' AS signal, CASE WHEN n = 0 THEN 'empty' WHEN lo <> hi THEN 'invalid' WHEN age > 1 THEN 'stale' WHEN age < 0 THEN 'incompatible' ELSE 'available' END AS status,
+  CASE WHEN n = 0 THEN NULL WHEN lo <> hi THEN 'several_snapshots' WHEN age > 1 THEN 'snapshot_old' WHEN age < 0 THEN 'snapshot_ahead' END AS reason, n AS rows, {str(more == 0).lower()} AS metrics_match
+  FROM (SELECT count(*) AS n, min(d) AS lo, max(d) AS hi, {_LAST_DAY} - max(d) AS age FROM (SELECT snapshot_day + CAST({days} AS INTEGER) AS d FROM hots WHERE {where}))"""
+
+
+@query("hotspot_status", "\nUNION ALL\n".join(map(_hot_case, _HOT_CASES)))
+def hotspot_status(spark, sf):
+    """Status of the hotspot table and of damaged copies; metrics that don't agree are told and withhold nothing."""
+    table = materialize(sg.hotspots_table(spark, sf))
+    last = t.eligible(spark, sf).agg(F.max("day")).scalar()
+    parts = []
+    for name, (where, days, more) in _HOT_CASES.items():
+        rows = table.filter(where)
+        metrics = rows.groupBy("severity").agg(F.count("*").alias("rows"))
+        if more:
+            metrics = metrics.withColumn("rows", F.col("rows") + more)
+        moved = rows.withColumn("snapshot_day", F.expr(f"date_add(snapshot_day, {days})"))
+        parts.append(q.hotspot_status(moved, last, metrics).select(F.lit(name).alias("signal"), "*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

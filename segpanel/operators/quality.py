@@ -427,20 +427,25 @@ def anomaly_status(flagged: DataFrame, metrics: DataFrame, weekly: DataFrame, sc
     return signal_status(facts, rules, col("s.rows") == 0).select("status", "reason", col("s.rows").alias("rows"))
 
 
-def hotspot_status(flagged: DataFrame, metrics: DataFrame, last_day: Column, max_age_days: int = 1) -> DataFrame:
-    """status, reason, rows of a hotspot table against its metrics and the last observed day."""
+def hotspot_status(flagged: DataFrame, last_day: Column, metrics: DataFrame | None = None, max_age_days: int = 1) -> DataFrame:
+    """status, reason, rows and metrics_match of a hotspot table against the last observed day.
+
+    Only the snapshot's day decides. Published metrics (severity, rows) are optional: whether they agree with the table is told
+    (null without them) and never withholds its rows.
+    """
     d = flagged.agg(F.min("snapshot_day").alias("lo"), F.max("snapshot_day").alias("hi"))
-    facts = _by_severity(flagged, F.lit(1)).select(F.struct("*").alias("s")).withColumns(
-        {"m": _one(_by_severity(metrics, F.col("rows"))), "d": _one(d), "last": last_day})
+    facts = _by_severity(flagged, F.lit(1)).select(F.struct("*").alias("s")).withColumns({"d": _one(d), "last": last_day})
+    match = F.lit(None).cast("boolean")
+    if metrics is not None:
+        facts = facts.withColumn("m", _one(_by_severity(metrics, F.col("rows"))))
+        match = (F.col("s.rows") == F.col("m.rows")) & ~_severities_differ()
     some, age = F.col("s.rows") > 0, F.datediff("last", "d.hi")
     rules = [
-        (F.col("s.rows") != F.col("m.rows"), "invalid", "row_count_off"),
-        (_severities_differ(), "invalid", "severity_off"),
         (some & (F.col("d.lo") != F.col("d.hi")), "invalid", "several_snapshots"),
         (some & F.coalesce(age > max_age_days, F.lit(True)), "stale", "snapshot_old"),
         (some & F.coalesce(age < 0, F.lit(True)), "incompatible", "snapshot_ahead"),
     ]
-    return signal_status(facts, rules, ~some).select("status", "reason", F.col("s.rows").alias("rows"))
+    return signal_status(facts.withColumn("metrics_match", match), rules, ~some).select("status", "reason", F.col("s.rows").alias("rows"), "metrics_match")
 
 
 def forecast_status(rows: DataFrame, weekly: DataFrame, keys: Sequence[str], week: str = "week") -> DataFrame:

@@ -140,7 +140,7 @@ def publish_tables(spark: SparkSession, layout: Layout, baseline: str | None = N
     statuses = {
         "forecast": quality.forecast_status(future, weekly, KEYS),
         "anomalies": quality.anomaly_status(anomalies, _metrics(spark, layout, "metrics_anomalies"), weekly, scored_to),
-        "hotspots": quality.hotspot_status(hotspots, _metrics(spark, layout, "metrics_hotspots"), last_day),
+        "hotspots": quality.hotspot_status(hotspots, last_day, _metrics(spark, layout, "metrics_hotspots")),
     }
     told = {name: status.first() for name, status in statuses.items()}  # one row each
     rows = [(name, r["status"], r["reason"], r["rows"]) for name, r in told.items()]

@@ -19,25 +19,25 @@ CONFIG = AnomalyConfig(volatile_min_weeks=10, volatile_min_events=40, top_n=20)
 KEYS = t.KEYS2
 
 
-def scoring_inputs(spark, sf):
+def scoring_inputs(spark, sf, keys=KEYS):
     """Anomaly features up to the scoring week and the predictions allowed into scoring."""
-    weekly = materialize(t.weekly(spark, sf, KEYS))
+    weekly = materialize(t.weekly(spark, sf, keys))
     dates = panel_dates(weekly)
-    model_panel = dense_panel(weekly, KEYS, dates.forecast, dates.last)
-    rows = materialize(fc.ml_features(model_panel, KEYS, dates).filter(F.col("week") >= F.lit(dates.validation_start)))
+    model_panel = dense_panel(weekly, keys, dates.forecast, dates.last)
+    rows = materialize(fc.ml_features(model_panel, keys, dates).filter(F.col("week") >= F.lit(dates.validation_start)))
     best = fc.fit_best(fc.fit_grid(rows, dates.validation_start, dates.validation_end))
-    model = an.safe_predictions(fc.predict(rows, best, KEYS), KEYS)
+    model = an.safe_predictions(fc.predict(rows, best, keys), keys)
     end = scoring_end(dates.first, dates.last)
-    return an.anomaly_features(dense_panel(weekly, KEYS, end, dates.last), KEYS, CONFIG), model
+    return an.anomaly_features(dense_panel(weekly, keys, end, dates.last), keys, CONFIG), model
 
 
-def scored(spark, sf):
-    rows, model = scoring_inputs(spark, sf)
-    return an.anomaly_scores(rows, model, KEYS, CONFIG)
+def scored(spark, sf, keys=KEYS):
+    rows, model = scoring_inputs(spark, sf, keys)
+    return an.anomaly_scores(rows, model, keys, CONFIG)
 
 
-def ranked(spark, sf):
-    return an.ranked_anomalies(scored(spark, sf), KEYS)
+def ranked(spark, sf, keys=KEYS):
+    return an.ranked_anomalies(scored(spark, sf, keys), keys)
 
 
 _FEAT = ("total_base", "total_long", "mean_short", "mean_base", "mean_long", "std_base", "median_long", "mad_long")
@@ -70,11 +70,51 @@ def anomalies_ranked(spark, sf):
     return ranked(spark, sf).select(*_RANKED.split(", "))
 
 
+def _recent(spark, sf, keys, weeks):
+    """Scored once: the last week and the anomalies come from the same table."""
+    rows = materialize(scored(spark, sf, keys).select("week", *keys, "actual", "expected", "expected_source", "residual", "z", "robust_z", "model_scaled", "score", "severity", "is_anomaly"))
+    end = rows.agg(F.max("week")).first()[0]
+    return an.top_recent(an.ranked_anomalies(rows, keys), weeks, CONFIG.top_n, end)
+
+
 @query("anomalies_recent", f"SELECT {_RANKED} FROM anoms2 WHERE week >= (SELECT max(week) - 7 * 59 FROM afeat2) ORDER BY rank_overall LIMIT 20")
 def anomalies_recent(spark, sf):
-    rows = scored(spark, sf)
-    end = rows.agg(F.max("week")).first()[0]
-    return an.top_recent(an.ranked_anomalies(rows, KEYS), 60, CONFIG.top_n, end).select(*_RANKED.split(", "))
+    return _recent(spark, sf, KEYS, 60).select(*_RANKED.split(", "))
+
+
+@query("anomalies_recent_8", f"SELECT {_RANKED} FROM anoms2 WHERE week >= (SELECT max(week) - 7 * 7 FROM afeat2) ORDER BY rank_overall LIMIT 20")
+def anomalies_recent_8(spark, sf):
+    """The report's own span of eight weeks."""
+    return _recent(spark, sf, KEYS, CONFIG.recent_weeks).select(*_RANKED.split(", "))
+
+
+# ---- the same at the full four keys ----------------------------------------------------------------
+
+_RANKED4 = _RANKED.replace("grp, cat", ", ".join(t.KEYS))
+
+
+@query("anomaly_features_4", f"SELECT week, {', '.join(t.KEYS)}, actual, first_week, last_week, observed_weeks, total, weeks_short, weeks_base, weeks_long, nonzero_weeks, "
+       + ", ".join(f"round({c}, 6) AS {c}" for c in _FEAT) + " FROM afeat4")
+def anomaly_features_4(spark, sf):
+    weekly = materialize(t.weekly(spark, sf))
+    dates = panel_dates(weekly)
+    panel = dense_panel(weekly, t.KEYS, scoring_end(dates.first, dates.last), dates.last)
+    return an.anomaly_features(panel, t.KEYS, CONFIG).withColumns({c: dround(c, 6) for c in _FEAT})
+
+
+@query("anomaly_scores_4", "SELECT * FROM ascore4")
+def anomaly_scores_4(spark, sf):
+    return scored(spark, sf, t.KEYS)
+
+
+@query("anomalies_ranked_4", f"SELECT {_RANKED4} FROM anoms4")
+def anomalies_ranked_4(spark, sf):
+    return ranked(spark, sf, t.KEYS).select(*_RANKED4.split(", "))
+
+
+@query("anomalies_recent_4", f"SELECT {_RANKED4} FROM anoms4 WHERE week >= (SELECT max(week) - 7 * 7 FROM afeat4) ORDER BY rank_overall LIMIT 20")
+def anomalies_recent_4(spark, sf):
+    return _recent(spark, sf, t.KEYS, CONFIG.recent_weeks).select(*_RANKED4.split(", "))
 
 
 @query("anomalies_top", f"SELECT {_RANKED} FROM anoms2 ORDER BY rank_overall LIMIT 20")

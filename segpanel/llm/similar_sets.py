@@ -13,9 +13,10 @@ Sets are identified by a hash of the whole set, so copies are one node however m
 Signatures travel packed, four bytes each (their bucket is the rest of them; a false match costs a
 check and no more). What is similar is decided on the texts' whole sets. Groups are found in three
 rounds: each set is checked against the most common set of some of its signature groups, then of all
-groups that are not connected yet, and at last against every set that shares a signature with it, may be
-similar and is not connected with it yet. So a large group of near copies costs its size and not its
-square, and no link that connects anything is lost.
+groups that are not connected yet, and at last against the centre of all sets that signatures connect with it. What
+two sets of a cluster have apart follows from what each has apart from the centre, so sets whose differences are their own
+cannot be linked and go; only the others are compared in pairs. So a large group of copies with edits of their own costs its
+size and not its square, and no link that connects anything is lost.
 """
 
 from __future__ import annotations
@@ -271,30 +272,74 @@ def _unconnected(shared: DataFrame, found: DataFrame) -> DataFrame:
 
     Such a link needs ``need`` signatures that sets of different labels share.
     """
-    labelled = staged(shared.join(found, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "labelled")
+    labelled = staged(_labelled(shared, found), "labelled")
     open_groups = labelled.groupBy(*_GROUP).agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select(*_GROUP)
     rest = labelled.join(open_groups, _GROUP, "left_semi")
     of_set = Window.partitionBy("node", "band")
     return staged(rest.withColumn("n", F.count("*").over(of_set)).filter("n >= need").drop("n"), "unconnected")
 
 
-def _shared_elements(sets: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """node, length, held: how many elements each of ``sets`` (node, label) has, and how many of them a set of another label has too.
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
 
-    Near copies of one original that are not similar to it share the original's elements and no others; this
-    count shows that they are too few.
-    """
+
+def _centres(open_rows: DataFrame) -> DataFrame:
+    """node, cluster, centre: sets that signature groups connect are a cluster, and its set with the most common signatures is the centre."""
+    top = open_rows.groupBy(*_GROUP).agg(F.max(F.struct("weight", "node")).alias("top"))
+    told = open_rows.join(top, _GROUP).select("node", "weight", F.col("top.node").alias("other"))
+    roots = staged(components(staged(told.filter("node != other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "cluster-links")), "clusters")
+    clustered = _labelled(open_rows.groupBy("node").agg(F.max("weight").alias("weight")), roots).withColumnRenamed("label", "cluster")
+    centre = clustered.groupBy("cluster").agg(F.max_by("node", F.struct("weight", "node")).alias("centre"))
+    return clustered.select("node", "cluster").join(centre, "cluster")
+
+
+def _differences(sets: DataFrame, texts: DataFrame, width: int, scheme: Scheme) -> DataFrame:
+    """Adds to ``sets`` (node, cluster, centre) the size of each set, whether it is linked with the centre, and the elements that one of the two has alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, middle = None, np.empty(0, _U)  # sets of one centre often follow each other
         for batch in batches:
-            data = [t.encode() for t in batch.column("text").to_pylist()]
-            for a, b in by_size(data):
-                shingles, counts = shingle_sets(data[a:b], width)
-                owner = pa.array(np.repeat(np.arange(a, b), counts))
+            centre, other = batch.column("centre").to_pylist(), batch.column("other").to_pylist()
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                if centre[i] != last:
+                    last, middle = centre[i], shingle_sets([other[i].encode()], width)[0]
+                own = shingle_sets([text.encode()], width)[0]
+                apart = np.setxor1d(own, middle, assume_unique=True)
+                both = (len(own) + len(middle) - len(apart)) // 2
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").take(owner), batch.column("label").take(owner), pa.array(shingles.view(np.int64))], ["node", "label", "element"])
-    elements = staged(sets.join(texts, "node").mapInArrow(run, "node long, label long, element long"), "open-elements")
-    met = elements.groupBy("element").agg(F.min("label").alias("x"), F.max("label").alias("y")).select("element", (F.col("x") < F.col("y")).alias("met"))
-    return elements.join(met, "element").groupBy("node").agg(F.count("*").alias("length"), F.count_if("met").alias("held"))
+                    [batch.column(c).slice(i, 1) for c in ("node", "cluster", "centre")]
+                    + [pa.array([len(own)]), pa.array([scheme.similar(both, len(own), len(middle))]), pa.array([apart.view(np.int64)], pa.list_(pa.int64()))],
+                    ["node", "cluster", "centre", "length", "linked", "apart"])
+    middle = texts.select(F.col("node").alias("centre"), F.col("text").alias("other"))
+    rows = sets.join(texts, "node").join(middle, "centre").select("node", "cluster", "centre", "text", "other")
+    return rows.mapInArrow(run, "node long, cluster long, centre long, length long, linked boolean, apart array<long>")
+
+
+def _open_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """node, label, cluster, length, slack, shared, need, elements for those of ``sets`` (node, label, cluster, length, apart) that may have a link to another label.
+
+    Two sets of a cluster differ in just the elements in which their differences from the centre differ. So a link asks that these
+    have ``need`` elements in common: half of what their sizes exceed the differences that the similarity allows (one at least, as
+    both would be linked with the centre otherwise). ``elements`` are those in which a set of another label differs too. Sets that
+    have too few for the best partner left go, and the counts are made again.
+    """
+    slack = (100 + percent) * F.size("apart") - (100 - percent) * F.col("length")
+    sets = staged(sets.select("node", "label", "cluster", "length", slack.alias("slack"), F.col("apart").alias("elements")), "open-sets")
+    while True:
+        before = sets.count()
+        single = sets.select("node", "label", "cluster", F.explode("elements").alias("element"))
+        met = single.groupBy("cluster", "element").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x < y")
+        # The rarest first; ties by the element, so that all sets have one order.
+        shared = single.join(met, ["cluster", "element"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "element"))).alias("shared"))
+        best = sets.groupBy("cluster").agg(F.min(F.struct("slack", "label")).alias("best"))
+        second = sets.join(best, "cluster").filter("label != best.label").groupBy("cluster").agg(F.min("slack").alias("second"))
+        partner = F.when(F.col("label") == F.col("best.label"), F.col("second")).otherwise(F.col("best.slack"))
+        need = F.greatest(F.lit(1), F.ceil((F.col("slack") + partner) / (2 * (100 + percent)))).cast("int")
+        counted = sets.drop("elements", "shared", "need").join(best.join(second, "cluster"), "cluster").join(shared, "node").withColumn("need", need)  # clusters of one label go
+        sets = staged(counted.filter(F.size("shared") >= F.col("need")).select(
+            "node", "label", "cluster", "length", "slack", F.size("shared").alias("shared"), "need", F.transform("shared", lambda x: x["element"]).alias("elements")), "open-sets")
+        left = sets.count()
+        if left > 0.95 * before or not left:
+            return sets
 
 
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -319,17 +364,20 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     rest = _unconnected(shared, components(links))
     more = staged(_verified(staged(_star_pairs(rest), "star-pairs"), texts, width, scheme), "star-links")
     links = links.union(more)
-    # Round 3: every pair of sets that share a signature and may be similar and are not connected yet.
+    # Round 3: each set against the centre of its cluster, and then every pair that shares a signature, may be similar by
+    # their differences from the centre, and is not connected yet.
     rest = _unconnected(rest.drop("label"), components(links))
-    kept = rest.withColumn("common", F.row_number().over(of_set.orderBy(F.desc("size"), "signature"))).filter("common >= need")
-    held = _shared_elements(staged(rest.select("node", "label").distinct(), "open-sets"), texts, width)
-    kept = staged(kept.join(held, "node").filter(100 * F.col("held") >= percent * F.col("length")).select(
-        "signature", "band", "node", "label", "length", "held"), "open-groups")
-    right = kept.select("signature", "band", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("length").alias("length_b"), F.col("held").alias("held_b"))
-    # The smaller set is large enough, and both hold enough elements that others hold too.
-    apart = ((F.col("label") < F.col("label_b")) & (100 * F.least("length", "length_b") >= percent * F.greatest("length", "length_b"))
-             & ((100 + percent) * F.least("held", "held_b") >= percent * (F.col("length") + F.col("length_b"))))
-    cross = kept.join(right, _GROUP).filter(apart).select(F.col("node").alias("a"), "b").distinct()
+    apart = staged(_differences(staged(_centres(rest), "centres"), texts, width, scheme), "differences")
+    links = links.union(apart.filter("linked and node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    labels = rest.select("node", "label").distinct()
+    told = apart.join(labels, "node").join(labels.select(F.col("node").alias("centre"), F.col("label").alias("middle")), "centre")
+    held = _open_sets(told.withColumn("label", F.when(F.col("linked"), F.col("middle")).otherwise(F.col("label"))), percent)
+    # Two sets with ``need`` elements in common have one of the rarest of each in common.
+    kept = staged(held.withColumn("element", F.explode(F.expr("slice(elements, 1, shared - need + 1)"))).drop("elements", "need"), "open-groups")
+    right = kept.select("cluster", "element", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "length", "slack", "shared")])
+    may = ((F.col("label") < F.col("label_b")) & (100 * F.least("length", "length_b") >= percent * F.greatest("length", "length_b"))
+           & (2 * (100 + percent) * F.least("shared", "shared_b") >= F.col("slack") + F.col("slack_b")))
+    cross = kept.join(right, ["cluster", "element"]).filter(may).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
     last = staged(_verified(staged(cross, "cross-pairs"), texts, width, scheme), "cross-links")
     roots = staged(components(links.union(last)), "roots")
     roots = roots.withColumnRenamed("node", "_n")

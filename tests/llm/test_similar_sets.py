@@ -134,3 +134,35 @@ def test_one_of_each_group_stays(spark):
     want = brute_components(near_copies())
     kept = one_of_each(spark.createDataFrame(data, SCHEMA).withColumn("root", F.lit(1))).collect()
     assert sorted(r.doc_id for r in kept) == sorted([7, 8, *{c for _, _, c in want}])
+
+
+def test_large_group_of_near_copies(spark):
+    """Copies with one to six edits of their own or from a small pool, copies of copies, and no original: groups as all pairs give them, from few pairs."""
+    import segpanel.llm.similar_sets as module
+
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(150)]
+    out = []
+    for i in range(220):
+        words = list(base) if i < 150 else out[int(rng.integers(0, i))].split()
+        for _ in range(int(rng.integers(1, 7))):
+            at = int(rng.integers(0, len(words)))
+            new = ["x", "y", f"own{i}"][int(rng.integers(0, 3))]
+            words[at:at + int(rng.integers(0, 2))] = [new]
+        out.append(" ".join(words))
+    data = [(i, t, "en", "s", len(t)) for i, t in enumerate(out)]
+    counted = {}
+    original = module.staged
+
+    def counting(df, name):
+        table = original(df, name)
+        counted[name] = counted.get(name, 0) + table.count()
+        return table
+    module.staged = counting
+    try:
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(data, SCHEMA).repartition(4)).collect())
+    finally:
+        module.staged = original
+    want = brute_components(data)
+    assert got == want and 5 < len({c for _, _, c in want}) < 200
+    assert counted["cross-pairs"] < 220 * 219 / 2 / 10  # of all pairs; many share edits here

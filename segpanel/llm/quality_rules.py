@@ -205,25 +205,31 @@ def _stratum() -> Column:
     return F.coalesce("lang", F.lit(""))
 
 
-def scored_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum, text_hash and ``FEATURES``, written once."""
-    rows = with_features(docs.select("doc_id", "text", "lang"))
-    return staged(rows.select("doc_id", _stratum().alias("stratum"), F.xxhash64("text").alias("text_hash"), *FEATURES), "features")
+def scored_documents(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """doc_id, stratum, text_hash, ``FEATURES`` and, if asked for, row (``columns`` as one value), written once: features are computed but once."""
+    row = [F.struct(*columns).alias("row")] if columns else []
+    rows = with_features(docs.select(*row, "doc_id", "text", "lang"))
+    kept = ["row"] if columns else []
+    return staged(rows.select("doc_id", _stratum().alias("stratum"), F.xxhash64("text").alias("text_hash"), *FEATURES, *kept), "features")
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
-    """doc_id, FEATURES, base_failed, kept for every row of ``docs``; repeated rows get a verdict each."""
+    """doc_id, FEATURES, base_failed, kept for every row of ``docs``; repeated rows get a verdict each.
+
+    Null and empty texts have no words and fail the base rules; a long text is read whole, inside its row. A document with several labels
+    counts with the greatest quality, and as toxic if one of them says so. Without labels, or with too few, the base rules decide
+    alone; an empty table gives no rows. Other columns are not looked at.
+    """
     scored = scored_documents(docs)
     cutoffs = staged(certified_cutoffs(scored, labels, risk=risk, error=error), "cutoffs")
     return verdict(scored, cutoffs).select("doc_id", "stratum", *FEATURES, "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns; no row is shuffled for it."""
-    columns = docs.columns
-    cutoffs = staged(certified_cutoffs(scored_documents(docs), labels, risk=risk, error=error), "cutoffs")
-    rows = with_features(docs.select(F.struct(*columns).alias("_row"), "text", _stratum().alias("stratum")))
-    # One condition over both sides of the join with the cutoffs: a conjunct over the features alone would be
-    # pushed through their projections, each of which then holds the ones below several times.
-    stays = (~F.col("base_failed")).cast("int") + F.col("kept").cast("int") == 2
-    return verdict(rows, cutoffs).filter(stays).select("_row.*")
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names; no row is shuffled for it.
+
+    What ``quality_verdicts`` says of nulls, long texts, labels and empty tables holds here too.
+    """
+    scored = scored_documents(docs, docs.columns)
+    cutoffs = staged(certified_cutoffs(scored.drop("row"), labels, risk=risk, error=error), "cutoffs")
+    return verdict(scored, cutoffs).filter("kept").select("row.*")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES, CACHE_WORDS = 500_000, 1_000_000
+CACHE_PIECES, CACHE_WORDS = 1_000_000, 800_000
 MAX_CACHED_CHARS = 100
 # White space apart from the blank and the line break, as Python sees it; a superset of what the
 # tokenizers count as white space, and not cutting is always right.
@@ -213,7 +213,7 @@ def _uneven() -> str:
     return f"  |\n |^ | $|[{spaces}]"
 
 
-def chunks(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, pa.Array]]:
+def chunks(texts: pa.Array, most: int = 12_000_000) -> Iterator[tuple[int, pa.Array]]:
     """Runs of texts of about ``most`` bytes together, each with the place of its first text."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0

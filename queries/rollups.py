@@ -52,9 +52,8 @@ def segment_count(spark, sf):
 @query("approx_distinct", "SELECT event_type, count(DISTINCT user_id) AS users, true AS within_error FROM events GROUP BY event_type")
 def approx_distinct(spark, sf):
     """The sketch's count may be off by five standard errors, in practice never more."""
-    counts = t.stream_events(spark, sf).groupBy("event_type").agg(
-        F.approx_count_distinct("user_id", 0.02).alias("about"), F.countDistinct("user_id").alias("users"))
-    return counts.select("event_type", "users", (F.abs(F.col("about") - F.col("users")) <= 0.1 * F.col("users")).alias("within_error"))
+    counts = sk.distinct_both(t.stream_events(spark, sf), "event_type", "user_id", 0.02)
+    return counts.select("event_type", F.col("exact").alias("users"), (F.abs(F.col("about") - F.col("exact")) <= 0.1 * F.col("exact")).alias("within_error"))
 
 
 @query("lag_quantiles", """SELECT p, round(v, 6) AS value FROM (

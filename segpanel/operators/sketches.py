@@ -89,6 +89,16 @@ def roll_up_distinct(counts: DataFrame, by: Sequence[Column | str]) -> DataFrame
     return counts.groupBy(*by).agg(F.sum("n").alias("n"), F.hll_union_agg("ids").alias("ids")).withColumn("about", F.hll_sketch_estimate("ids")).drop("ids")
 
 
+def distinct_both(df: DataFrame, by: str, identity: str, error: float = 0.05) -> DataFrame:
+    """``by``, about, exact: estimated and exact distinct ids of every group; null ids don't count.
+
+    The two are aggregated apart: beside an exact distinct count Spark would hold a sketch for every pair of group and id.
+    """
+    about = df.groupBy(by).agg(F.approx_count_distinct(identity, error).alias("about"))
+    exact = df.groupBy(by).agg(F.countDistinct(identity).alias("exact"))
+    return _join(exact, about, [by]).select(by, "about", "exact")
+
+
 def top_values_counted(df: DataFrame, column: str, n: int, tracked: int = 1000) -> DataFrame:
     """value, rows of the ``n`` most frequent values, as ``top_values`` finds them, with only candidates counted.
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segpanel.operators import publish as pb
-from segpanel.operators.sketches import counts_with_distinct, quantiles_within, roll_up_distinct, top_values_counted
+from segpanel.operators.sketches import counts_with_distinct, distinct_both, quantiles_within, roll_up_distinct, top_values_counted
 
 
 def rows():
@@ -49,6 +49,17 @@ def test_distinct_counts_add_up(spark, plan):
     assert sum(r.n for r in total) == 40_000
 
 
+def test_distinct_ids_are_counted_without_a_sketch_for_each(spark, plan):
+    """No aggregate by group and id may carry a sketch."""
+    df = spark.range(9000).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 'a' else 'b' end AS g", "if(id % 10 = 0, null, id % 1000) AS u")
+    out = distinct_both(df.unionByName(spark.createDataFrame([("none", None)], "g string, u long")), "g", "u", 0.02)
+    got = {r.g: (r.about, r.exact) for r in out.collect()}
+    assert {g: n for g, (_, n) in got.items()} == {None: 900, "a": 900, "b": 900, "none": 0}
+    assert all(abs(about - n) <= 0.1 * n for about, n in got.values())
+    aggregates = [line for line in plan(out).splitlines() if "Aggregate(" in line]
+    assert aggregates and not [line for line in aggregates if "approx_count_distinct" in line and "keys=[g" in line and "u#" in line.split("functions=")[0]]
+
+
 @pytest.mark.parametrize("skew", [True, False])
 def test_frequent_values_are_exact_either_way(spark, skew):
     random.seed(5)

@@ -4,31 +4,34 @@ A text is cut before every white-space run that follows a visible character. Nei
 tokenizer file (byte-level BPE, BPE with word ends) normalises, matches or merges across such a place,
 so what holds for the ids of a text is the sum or the sequence of what holds for its pieces.
 
-The tables of a task are bounded by ``CACHE_PIECES`` and ``CACHE_WORDS`` entries, of which the older half goes when they are full: that changes
-speed and never results. Pieces longer than ``MAX_CACHED_CHARS`` are not kept.
+The tables of a task are bounded by the ``CACHE_`` numbers of entries, of which the older half goes (of Arrow tables:
+what the run of texts at hand doesn't hold) when they are full: that changes speed and never results. Pieces longer than ``MAX_CACHED_CHARS`` are not kept.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES, CACHE_WORDS = 1_000_000, 800_000
+CACHE_PIECES, CACHE_WORDS, CACHE_SIGNS, CACHE_IDS = 1_000_000, 800_000, 50_000, 600_000
 MAX_CACHED_CHARS = 100
 # White space apart from the blank and the line break, as Python sees it; a superset of what the
 # tokenizers count as white space, and not cutting is always right.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _PIECE = re.compile(r"\s*\S+|\s+")
 # Letters that both kinds of file take as one word, and signs that they take as another behind it; both lower-case these letters one by one.
-_PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]*)").fullmatch
+# The apostrophe isn't one of the signs (contractions), nor is what special strings begin with.
+_LETTERS = "".join(c for c in map(chr, range(0x100)) if re.match("[A-Za-zÀ-ÖØ-öø-ÿ]", c))
+_SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+_PLAIN_KEY = f"^[A-Za-zÀ-ÖØ-öø-ÿ]+[{re.escape(_SIGNS)}]*\\z"
 # Letters, digits and signs on which all Unicode versions agree.
 _PLAIN = re.compile("[\x00-ɏ]*\\Z")
 
@@ -160,13 +163,18 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
-class IdTable(Generations):
-    """Key of a piece -> its ids as little-endian bytes. Plain words are kept without the points or commas behind them too."""
+class IdTable:
+    """Key of a piece -> its ids as little-endian bytes.
 
-    def __init__(self, path: str, code: str):
+    What is kept stands in two Arrow arrays, about 30 bytes a piece, which a run of texts looks all its distinct pieces up in
+    at once. When they are full, only the pieces of that run stay.
+    """
+
+    def __init__(self, path: str, code: str, most: int = CACHE_IDS):
         file = TokenizerFile(path)
-        tokenize, encode, findall, fold, lead = file.library.model.tokenize, file.library.encode, file.find, file.folds, file.lead
-        lead_symbols = file.symbols(lead or "")
+        tokenize, encode, findall, fold = file.library.model.tokenize, file.library.encode, file.find, file.folds
+        self.lead, self.most = None if findall is None else file.lead, most
+        lead_symbols = file.symbols(self.lead or "")
 
         def ids_of(symbols: str) -> bytes:
             return array(code, [t.id for t in tokenize(symbols)]).tobytes()
@@ -175,8 +183,8 @@ class IdTable(Generations):
             # Visible ASCII characters stand for themselves.
             word = word.lower() if fold else word
             return ids_of(lead_symbols + (word if word.isascii() else file.symbols(word)))
-        words, plain = WordTable(lambda word: ids_of(file.symbols(word))), WordTable(plain_ids)
-        word_ids = words.__getitem__
+        self.plain_ids, self.words = plain_ids, Generations(lambda word: ids_of(file.symbols(word)), CACHE_SIGNS)
+        word_ids = self.words.__getitem__
 
         def text_bytes(text: str) -> bytes:
             if text.isascii() and "<" not in text and findall is not None:
@@ -184,16 +192,43 @@ class IdTable(Generations):
             if file.plain(text):
                 return b"".join(map(word_ids, file.words(text)))
             return array(code, encode(text, add_special_tokens=False).ids).tobytes()
+        self.text_bytes = text_bytes
+        self.keys, self.values = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def of(self, keys: pa.Array) -> pa.Array:
+        """Ids of each of ``keys``, which are distinct."""
+        at = pc.index_in(keys, value_set=self.keys)
+        missed = pc.is_null(at)
+        new = keys.filter(missed)
+        fresh = self._computed(new)
+        out = _woven(self.values.take(at.filter(pc.invert(missed))), fresh, missed)
+        if len(self.keys) + len(new) > self.most:  # begin again with what this run holds
+            self.keys, self.values, new, fresh = self.keys[:0], self.values[:0], keys[:self.most], out[:self.most]
+        short = pc.less_equal(pc.utf8_length(new), MAX_CACHED_CHARS)
+        self.keys, self.values = pa.concat_arrays([self.keys, new.filter(short)]), pa.concat_arrays([self.values, fresh.filter(short)])
+        return out
 
-        def value(key: str) -> bytes:
-            if lead is not None and (found := _PLAIN_WORD(key)):
-                body, tail = found.groups()
-                return plain[body] + words[tail] if tail else plain[body]
-            return text_bytes(piece_text(key))
-        super().__init__(value, CACHE_PIECES)
-
-    def of(self, text: str) -> list:
-        return list(map(self.__getitem__, piece_keys(text)))
+    def _computed(self, keys: pa.Array) -> pa.Array:
+        """Ids of keys that aren't kept. Plain words may be, without the signs behind them."""
+        plain = pc.fill_null(pc.match_substring_regex(keys, _PLAIN_KEY), False) if self.lead is not None else pa.array(np.zeros(len(keys), bool))
+        words = keys.filter(plain)
+        bodies, tails = pc.utf8_rtrim(words, _SIGNS).dictionary_encode(), pc.utf8_ltrim(words, _LETTERS).dictionary_encode()
+        at = pc.index_in(bodies.dictionary, value_set=self.keys)
+        new = pc.is_null(at)
+        fresh = pa.array(list(map(self.plain_ids, bodies.dictionary.filter(new).to_pylist())), pa.large_binary())
+        body_ids = _woven(self.values.take(at.filter(pc.invert(new))), fresh, new).take(bodies.indices)
+        tail_ids = pa.array([self.words[t] if t else b"" for t in tails.dictionary.to_pylist()], pa.large_binary()).take(tails.indices)
+        joined = pc.binary_join_element_wise(body_ids, tail_ids, pa.scalar(b"", pa.large_binary()))
+        others = pa.array([self.text_bytes(piece_text(k)) for k in keys.filter(pc.invert(plain)).to_pylist()], pa.large_binary())
+        return _woven(others, joined, plain)
+
+
+def _woven(rest: pa.Array, chosen: pa.Array, where: pa.Array) -> pa.Array:
+    """The next of ``chosen`` where ``where`` holds, the next of ``rest`` elsewhere."""
+    held = where.to_numpy(zero_copy_only=False)
+    places = np.empty(len(held), np.int64)
+    places[~held], places[held] = np.arange(len(rest)), len(rest) + np.arange(len(chosen))
+    return pa.concat_arrays([rest, chosen]).take(pa.array(places))
 
 
 @lru_cache(maxsize=4)
@@ -202,7 +237,6 @@ def id_table(path: str, code: str = "I") -> IdTable:
 
     One for each worker process: a later task goes on with what an earlier one has found.
     """
-    gc.disable()  # the tables hold millions of strings and no cycles; full collections would walk them
     return IdTable(path, code)
 
 
@@ -213,7 +247,7 @@ def _uneven() -> str:
     return f"  |\n |^ | $|[{spaces}]"
 
 
-def chunks(texts: pa.Array, most: int = 12_000_000) -> Iterator[tuple[int, pa.Array]]:
+def chunks(texts: pa.Array, most: int = 14_000_000) -> Iterator[tuple[int, pa.Array]]:
     """Runs of texts of about ``most`` bytes together, each with the place of its first text."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -228,32 +262,30 @@ def encoded(texts: pa.Array, table: IdTable, code: str, end_id: int | None = Non
 
     The texts are cut together, and each distinct piece of theirs is looked up once.
     """
-    texts = pc.fill_null(texts, "")
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
     spaced = pc.replace_substring(texts, "\n", " \n")
     empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
     uneven = pc.match_substring_regex(spaced, _uneven()).to_numpy(zero_copy_only=False) & ~empty
-    even = np.flatnonzero(~uneven & ~empty)
-    parts = pc.split_pattern(pc.binary_join_element_wise("\t", spaced.take(pa.array(even)), ""), " ")
-    pieces = parts.flatten().dictionary_encode()
-    raw = list(map(table.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False).tolist()))
-    alone = np.flatnonzero(uneven)
-    raw += [b"".join(table.of(t)) for t in texts.take(pa.array(alone)).to_pylist()]
-    raw.append(b"" if end_id is None else array(code, [end_id]).tobytes())
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(code).itemsize
-    # The pieces of all texts in order, an uneven text being one, and the end after each text.
+    even, alone = np.flatnonzero(~uneven & ~empty), np.flatnonzero(uneven)
+    parts = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\t", pa.large_string()), spaced.take(pa.array(even)), pa.scalar("", pa.large_string())), " ")
+    del spaced
     counts = np.zeros(len(texts), np.int64)
     counts[even] = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
-    counts[alone] = 1
-    order = np.full(int(counts.sum()) + len(texts), len(raw) - 1, np.int64)
+    keys = [piece_keys(t) for t in texts.take(pa.array(alone)).to_pylist()]
+    counts[alone] = list(map(len, keys))
+    pieces = pa.concat_arrays([parts.flatten(), pa.array(chain.from_iterable(keys), pa.large_string())]).dictionary_encode()
+    del parts, keys
+    end = b"" if end_id is None else array(code, [end_id]).tobytes()
+    found = pa.concat_arrays([table.of(pieces.dictionary), pa.array([end], pa.large_binary())])
+    # The pieces of all texts in order, and the end after each text.
+    order = np.full(len(pieces) + len(texts), len(found) - 1, np.int32)
     first = np.cumsum(counts + 1) - counts - 1
-    inner = np.repeat(first[even], counts[even]) + np.arange(len(pieces)) - np.repeat(np.cumsum(counts[even]) - counts[even], counts[even])
-    order[inner] = pieces.indices.to_numpy()
-    order[first[alone]] = len(pieces.dictionary) + np.arange(len(alone))
-    found = np.empty(len(raw), object)
-    found[:] = raw
-    ids = np.frombuffer(b"".join(found[order].tolist()), code)
-    upto = np.cumsum(sizes[order])
-    return ids, np.diff(upto[first + counts], prepend=0)
+    held = np.concatenate([even, alone])
+    order[np.repeat(first[held] - np.cumsum(counts[held]) + counts[held], counts[held]) + np.arange(len(pieces))] = pieces.indices.to_numpy()
+    taken = found.take(pa.array(order))
+    upto = np.frombuffer(taken.buffers()[1], np.int64, len(order) + 1, 8 * taken.offset)
+    ids = np.frombuffer(taken.buffers()[2] or b"", np.uint8)[upto[0]:upto[-1]].view(code)
+    return ids, np.diff(upto[first + counts + 1] - upto[0], prepend=0) // ids.itemsize
 
 
 def text_ids(texts: Iterable[str], table: PieceTable) -> Iterable[bytes]:

@@ -1,9 +1,12 @@
 """Token counts, token files and packing against the tokenizers library."""
 
+import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path as tokenizer_path
 from tokenizers import Tokenizer
@@ -11,7 +14,7 @@ from tokenizers import Tokenizer
 from segpanel.llm.packing import cutting_stock, pack_documents
 from segpanel.llm.token_counts import count_tokens, token_counts
 from segpanel.llm.token_files import pack, unpack, write_token_files
-from segpanel.llm.tokens import piece_keys, piece_text
+from segpanel.llm.tokens import IdTable, encoded, piece_keys, piece_text
 from tests.llm.cases import documents, nobody, rows
 
 BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
@@ -103,3 +106,28 @@ def test_cutting_stock_covers_the_demand():
             rooms[fit] -= fit < 64
             rooms[fit - size] += 1
     assert sum(n for _, n in plan) <= rooms.sum() + len(sizes)
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@pytest.mark.parametrize("most", [0, 7, 1000])
+def test_ids_equal_the_library_however_few_are_kept(path, most):
+    texts = [t for _, t, *_ in rows()] + ["don't", "Ça--va?! l'été, été. Été\nÉté,\nx_y z_ _", "<|endoftext|>a <|endoftext|>, b", "ﬁx e\u0301t\u00e9, \u00df!", "a" * 300, "a,' b'. c'd", "w[x] y[] z<"]
+    table = IdTable(path, "I", most)
+    for part in (texts[:40], texts[20:], texts, texts[::-1]):
+        got, sizes = encoded(pa.array(part, pa.string()), table, "I", 2)
+        want = [[*i, 2] for i in ids(path, part)]
+        assert got.tolist() == [t for i in want for t in i] and sizes.tolist() == list(map(len, want))
+
+
+def test_id_tables_are_small():
+    """A worker keeps its table while the next stages run, beside them in the executor's memory."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(150_000)]
+    table = IdTable(BYTE, "H")
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    for k in range(0, len(words), 30_000):
+        encoded(pa.array([" ".join(words[k:k + 30_000])]), table, "H")
+    python, arrow = tracemalloc.get_traced_memory()[0], pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert python + arrow < 80 * len(words)
